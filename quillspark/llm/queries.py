@@ -6,16 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import secrets
+from quillspark.llm import block_ann, hamming_topk, line_dedup, secrets
 from quillspark.llm.common import table
 
 
+def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_topk.search(table(spark, sf_dir, "embeddings"))
+
+
+def op4_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_hamming_topk": op3_hamming_topk,
+    "op4_block_ann": op4_block_ann,
+    "op6_line_dedup": op6_line_dedup,
     "op9_secret_scan": op9_secret_scan,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op3_hamming_topk": hamming_topk.SQL,
+    "op4_block_ann": block_ann.SQL,
+    "op6_line_dedup": line_dedup.SQL,
+}
