@@ -52,26 +52,31 @@ class LineRuns:
         """batch: rows (h1, h2, owner, many): a key, its smallest doc_id in this batch, whether other documents of it hold the key."""
         new, old = batch, []
         for run in self.runs():
-            hit = new.hint("merge").join(run.withColumnRenamed("owner", "first"), KEY)
-            old.append(hit.select(*KEY, F.col("first").alias("owner")))
-            new = new.hint("merge").join(run, KEY, "left_anti")
-        new = written(new, "line-fresh")
-        self._push(0, new.select(*KEY, "owner"))
-        out = new.filter("many").select(*KEY, "owner")
+            known = run.select(*KEY, F.col("owner").alias("first"))
+            old.append(new.hint("merge").join(known, KEY).select(*KEY, F.col("first").alias("owner")))
+            new = new.hint("merge").join(known, KEY, "left_anti")
+        fresh = self._sorted(new, 0)
+        out = fresh.filter("many").select(*KEY, "owner")
         for x in old:
             out = out.unionByName(x)
-        return written(out, "line-verdicts")
+        out = written(out, "line-verdicts")
+        self._push(0, fresh)
+        return out
 
-    def _push(self, level: int, rows: DataFrame) -> None:
+    @staticmethod
+    def _sorted(rows: DataFrame, level: int) -> DataFrame:
+        return written(rows.repartition(*KEY).sortWithinPartitions(*KEY), f"line-run-{level}")
+
+    def _push(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(written(rows.repartition(*KEY).sortWithinPartitions(*KEY), f"line-run-{level}"))
+        self.levels[level].append(run)
         if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
             rows = merged[0]
             for r in merged[1:]:
                 rows = rows.unionByName(r)
-            self._push(level + 1, rows)
+            self._push(level + 1, self._sorted(rows, level + 1))
             for r in merged:
                 discard(r)
 
