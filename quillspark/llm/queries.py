@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import block_ann, hamming_topk, line_dedup, secrets
+from quillspark.llm import block_ann, hamming_topk, line_dedup, ngram_join, secrets
 from quillspark.llm.common import table
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
 def op3_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_topk.search(table(spark, sf_dir, "embeddings"))
 
@@ -27,6 +31,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_hamming_topk": op3_hamming_topk,
     "op4_block_ann": op4_block_ann,
     "op6_line_dedup": op6_line_dedup,
