@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import block_ann, hamming_topk, line_dedup, ngram_join, secrets
+from quillspark.llm import block_ann, hamming_topk, lattice_lm, line_dedup, ngram_join, secrets
 from quillspark.llm.common import table
 
 
@@ -30,12 +30,17 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_hamming_topk": op3_hamming_topk,
     "op4_block_ann": op4_block_ann,
     "op6_line_dedup": op6_line_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_lattice_lm": op10_lattice_lm,
 }
 
 SQL: dict[str, str] = {
