@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import block_ann, hamming_topk, lattice_lm, line_dedup, ngram_join, secrets
+from quillspark.llm import block_ann, hamming_topk, lattice_lm, line_dedup, ngram_join, packing, secrets
 from quillspark.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hamming_topk": op3_hamming_topk,
     "op4_block_ann": op4_block_ann,
     "op6_line_dedup": op6_line_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op9_secret_scan": op9_secret_scan,
     "op10_lattice_lm": op10_lattice_lm,
 }
