@@ -12,10 +12,13 @@ counted within salted parts of a length and offset by the parts before, so that
 
 from __future__ import annotations
 
+import gc
 import re
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,7 @@ CAPACITY = 2048
 #: Nodes of the search.
 NODES = 5000
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: Words that are tokenized at once.
 TOGETHER = 4096
 #: Characters for which lower(), split() and the tokenizer's own normalizer and white space agree: such texts go word by word.
@@ -48,37 +51,73 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def _byte_letters() -> dict[int, int]:
+    """The characters by which byte-level models read bytes: printable ones as they are, the others by rising numbers from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: 256 + n for n, b in enumerate(rest)}
+
+
 class WordIds:
     """Little-endian 32-bit ids of texts. The tokenizer splits at white space first, so a word's ids don't depend on its neighbours and are remembered."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         self.known: dict[str, bytes] = {}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.letters = _byte_letters()
 
-    def _learn(self, words: list[str]) -> None:
+    def _encoded(self, words: list[str]) -> None:
+        """Tokenize distinct words together; where a word's ids begin and end is told by their offsets."""
+        known = self.known
         for i in range(0, len(words), TOGETHER):
             some = words[i : i + TOGETHER]
             starts = np.cumsum([0, *[len(w) + 1 for w in some]])
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids = np.array(e.ids, "<u4")
-            edges = np.searchsorted(np.array([o[0] for o in e.offsets]), starts)
-            for j, w in enumerate(some):
-                self.known[w] = ids[edges[j] : edges[j + 1]].tobytes()
+            ids = np.array(e.ids, "<u4").tobytes()
+            edges = (4 * np.searchsorted(np.fromiter(map(itemgetter(0), e.offsets), np.int64, len(ids) // 4), starts)).tolist()
+            for w, start, end in zip(some, edges, edges[1:], strict=False):
+                known[w] = ids[start:end]
+
+    def _learn(self, words: set[str]) -> None:
+        """Punctuation after a letter or digit is a token apart, so a word with it has its own ids after those of the bare word."""
+        known, ends, bare = self.known, [], set()
+        for w in words:
+            stem = w.rstrip(string.punctuation)
+            if len(stem) < len(w) and stem and stem[-1].isalnum():
+                ends.append((w, stem, w[len(stem) :]))
+                bare.add(stem)
+                bare.add(w[len(stem) :])
+            else:
+                bare.add(w)
+        rest, tokenize, four = [], self.tokenizer.model.tokenize, self.four
+        for w in bare.difference(known):
+            if w.isalpha():  # one run of letters: the model reads its bytes, each as a character
+                known[w] = b"".join([four[t.id] for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters))])
+            else:
+                rest.append(w)
+        self._encoded(rest)
+        for w, stem, end in ends:
+            known[w] = known[stem] + known[end]
 
     def many(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids, then id 0."""
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        get = self.known.get
         split = [t.lower().split() if t and "<|" not in t and PLAIN.fullmatch(t) else None for t in texts]
-        if new := {w for words in split if words for w in words if w not in self.known}:
-            self._learn(sorted(new))
-        known = self.known
-        for t, words in zip(texts, split, strict=True):
-            if words is None:
-                ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if t else [], "<u4").tobytes()
+        found = [list(map(get, words)) if words else words for words in split]
+        gaps = [(ids, words, i) for ids, words in zip(found, split, strict=True) if ids for i, x in enumerate(ids) if x is None]
+        if gaps:
+            self._learn({words[i] for _, words, i in gaps})
+            for ids, words, i in gaps:
+                ids[i] = self.known[words[i]]
+        for t, ids in zip(texts, found, strict=True):
+            if ids is None:
+                yield np.array(self.tokenizer.encode(t, add_special_tokens=False).ids if t else [], "<u4").tobytes() + b"\0\0\0\0"
             else:
-                ids = b"".join([known[w] for w in words])
-            yield ids + b"\0\0\0\0"
+                ids.append(b"\0\0\0\0")
+                yield b"".join(ids)
 
 
 @lru_cache(maxsize=2)
@@ -91,6 +130,13 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        gc.disable()  # lists of many words, and no cycles: collection would only walk them again and again
+        try:
+            yield from parts(batches)
+        finally:
+            gc.enable()
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for at in range(0, len(b), 500):
                 some, rows = b.iloc[at : at + 500], []
