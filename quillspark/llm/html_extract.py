@@ -204,7 +204,7 @@ def _blocks(page: str, template: dict[int, tuple[int, int, bool]]) -> list[str]:
             if t is not None and data in BLOCK:
                 slot = None
             continue
-        if t is not None and t[2] and t[1] not in broken:
+        if t is not None and t[2] and t[1] not in broken and not element.main:
             continue
         where = (element.apart, element.main)
         if slot is None or where != key:
