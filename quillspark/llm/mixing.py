@@ -66,6 +66,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     rows with a null doc_id. No documents: no rows.
     """
     spark = docs.sparkSession
+    docs = docs.drop("_source", "_below", "_u", "copies", "copy", "shuffle_key")
     table = written(rates(docs, weights, temperature, epochs), "mix-rates")
     few = table.count() <= BROADCAST_SOURCES
     of = table.select(F.col("source").alias("_source"), F.col("below").alias("_below"))
