@@ -63,7 +63,7 @@ def fixed_pairs(src: DataFrame, separator: str = "\t", within: str = "|||") -> D
     """side, anchor, py, cand, rank: lines of side, anchor and fields 'py|||cand|||cand...'."""
     f = _fields(src, separator, 3).select(F.col("f")[0].alias("side"), F.col("f")[1].alias("anchor"), F.explode(F.slice("f", F.lit(3), F.size("f"))).alias("x"))
     parts = f.select("side", "anchor", F.split("x", re.escape(within), -1).alias("p"))
-    return parts.select("side", "anchor", F.col("p")[0].alias("py"), F.posexplode(F.slice("p", F.lit(2), F.size("p"))).alias("rank", "cand"))
+    return parts.select("side", "anchor", F.col("p")[0].alias("py"), F.posexplode(F.slice("p", F.lit(2), F.size("p"))).alias("rank", "cand")).select("side", "anchor", "py", "cand", "rank")
 
 
 def typed_names(src: DataFrame, separator: str = "\t") -> DataFrame:
