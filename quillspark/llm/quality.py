@@ -27,8 +27,10 @@ from quillspark.llm.common import written
 TRAINING_ROWS = 12_000
 #: A word is in the vocabulary if so many training documents have it.
 LEAST_DOCUMENTS = 5
-STEPS = 150
-L1 = 3e-4
+#: Steps of the fit over shares alone, of that which chooses words, and of that over the chosen ones.
+STEPS = 100
+#: Penalty of a word's weight, in units of what chance makes the largest gradient of all words.
+L1 = 0.8
 #: Rejected when either posterior chance is beyond this.
 REJECT = 0.5
 LEVELS = ("source", "lang")
@@ -94,16 +96,18 @@ class Model:
         return np.array(out).reshape(-1, len(HEADS))
 
 
-def fit(rows: list[tuple[list[float], list[bytes]]], labels: np.ndarray, steps: int = STEPS, l1: float = L1) -> Model:
-    """Logistic regression by proximal gradient steps that adapt to each weight. labels: a row of 0 or 1 for each head."""
+def fit(rows: list[tuple[list[float], bytes]], labels: np.ndarray, steps: int = STEPS, l1: float = L1) -> Model:
+    """Logistic regression by proximal gradient steps that adapt to each weight. rows: shares, and distinct words parted by spaces. labels: a row of 0 or 1 for each head."""
     count: dict[bytes, int] = {}
     for _, words in rows:
-        for w in words:
+        for w in words.split():
             count[w] = count.get(w, 0) + 1
     vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in count.items() if n >= LEAST_DOCUMENTS))}
-    at = [np.array([vocabulary[w] for w in words if w in vocabulary], np.int64) for _, words in rows]
-    column = np.concatenate([*at, np.empty(0, np.int64)])
-    row = np.repeat(np.arange(len(rows)), [len(a) for a in at])
+    del count
+    at = [np.array([i for w in words.split() if (i := vocabulary.get(w)) is not None], np.int32) for _, words in rows]
+    column = np.concatenate([*at, np.empty(0, np.int32)])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) for a in at])
+    del at
     dense = np.array([s for s, _ in rows]).reshape(len(rows), SHARES)
     n, v = max(1, len(rows)), len(vocabulary)
     shares, weights, start = np.zeros((SHARES, len(HEADS))), np.zeros((v, len(HEADS))), np.zeros(len(HEADS))
@@ -111,19 +115,27 @@ def fit(rows: list[tuple[list[float], list[bytes]]], labels: np.ndarray, steps:
         y = labels[:, h] if len(rows) else np.empty(0)
         mean = np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6)
         b = float(np.log(mean / (1 - mean)))
+        penalty = l1 * np.sqrt(mean * (1 - mean) * 2 * np.log(max(2, v)) / n * np.bincount(column, minlength=v) / n)
         if not 0 < y.sum() < len(y):  # one class only: nothing to tell apart
             start[h] = b
             continue
         w, d = np.zeros(v), np.zeros(SHARES)
         gw, gd, gb = np.full(v, 1e-8), np.full(SHARES, 1e-8), 1e-8
-        for _ in range(steps):
-            z = b + dense @ d + np.bincount(row, w[column], len(rows))
+        # shares first, so that words explain only what shares can't; at last the words that the penalty left, without it
+        for step in range(3 * steps):
+            z = b + dense @ d + (np.bincount(row, w[column], len(rows)) if step > steps else 0.0)
             err = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y) / n
-            dw, dd, db = np.bincount(column, err[row], v), dense.T @ err, err.sum()
-            gw, gd, gb = gw + dw * dw, gd + dd * dd, gb + db * db
-            rate = 0.5 / np.sqrt(gw)
-            w = w - rate * dw
-            w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+            dd, db = dense.T @ err, err.sum()
+            gd, gb = gd + dd * dd, gb + db * db
+            if step >= steps:
+                dw = np.bincount(column, err[row], v)
+                gw += dw * dw
+                rate = 0.5 / np.sqrt(gw)
+                if step < 2 * steps:
+                    w = w - rate * dw
+                    w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
+                else:
+                    w = np.where(w != 0, w - rate * dw, 0.0)
             d = d - 0.5 / np.sqrt(gd) * (dd + 1e-6 * d)
             b -= 0.5 / np.sqrt(gb) * db
         shares[:, h], weights[:, h], start[h] = d, w, b
@@ -143,9 +155,9 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mo
             found = [features(t) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "low": b["low"], "toxic": b["toxic"], "shares": [f[0] for f in found], "words": [b" ".join(sorted(f[1])) for f in found]})
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(read, "doc_id long, low int, toxic int, shares array<double>, words binary")
-    got = sorted(texts.collect(), key=lambda r: (r["doc_id"], bytes(r["words"])))
-    return fit([(r["shares"], bytes(r["words"]).split()) for r in got], np.array([[r[h] for h in HEADS] for r in got], float).reshape(-1, len(HEADS)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(read, "doc_id long, low int, toxic int, shares array<double>, words binary").dropDuplicates(["doc_id"])
+    got = texts.toPandas().sort_values(["doc_id", "words"], ignore_index=True)
+    return fit([(x, bytes(w)) for x, w in zip(got["shares"], got["words"], strict=True)], got[list(HEADS)].to_numpy(float).reshape(-1, len(HEADS)))
 
 
 def _logit(p: Column) -> Column:
@@ -205,7 +217,7 @@ def judge(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] = LEVELS,
         return pd.DataFrame(1 / (1 + np.exp(-model.log_odds(texts))), columns=list(HEADS))
 
     made = [f"{k}_{h}" for k in ("p", "site", "post") for h in HEADS]
-    docs = docs.drop(*made, "keep")
+    docs = docs.drop(*made, "keep", "_e", *[f"_{c}" for c in levels])
     seen = docs.select(*levels, evidence("text").alias("_e"))
     shifts = site_shifts(seen.select(*levels, *[F.col(f"_e.{h}").alias(f"p_{h}") for h in HEADS]), levels)
     at = shifts.select(*[F.col(c).alias(f"_{c}") for c in levels], *[F.col(f"shift_{h}").alias(f"site_{h}") for h in HEADS])
