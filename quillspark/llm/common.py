@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,29 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of a narrow table up to which it is broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table with a broadcast hint if it has at most `rows` rows, as it is otherwise."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+_CACHES: dict[str, Callable[[], None]] = {}
+_USED: list[str] = []
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Say in a worker that an operator uses its cache now: the caches that other operators left there are cleared."""
+    _CACHES[name] = clear
+    if _USED != [name]:
+        for other, drop in _CACHES.items():
+            if other != name:
+                drop()
+        _USED[:] = [name]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

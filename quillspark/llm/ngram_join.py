@@ -11,9 +11,10 @@ deletions are used only as far as needed, smallest neighbourhoods first. A set t
 Signatures don't travel as rows: a mapper sorts those of a batch of documents into one binary block per bucket, and a bucket
 finds equal signatures by sorting arrays. Sets are known by a 64-bit digest, so exact copies are one set from the mapper on.
 
-Candidates are verified exactly on the whole sets. What is wanted is components, so the pairs of a document with its likeliest
-partner go first, and other pairs are verified only if their ends are not yet in one component. A bucket with many sets sends
-pairs with one of them, and its members; pairs among its other members follow only where components still differ.
+Candidates that sizes and small sketches of the sets can't rule out are verified exactly on the whole sets. What is wanted is
+components, so each set's pair with its smallest partner goes first, and other pairs are verified only if their ends are not
+yet in one component. A bucket with many sets sends pairs with one of them, and its members; pairs among its other members
+follow only where components still differ.
 """
 
 from __future__ import annotations
@@ -26,20 +27,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import discard, partitions, written
+from quillspark.llm.common import BROADCAST_ROWS, claim, discard, partitions, small, written
 from quillspark.llm.components import components
 
 WORDS = 5
 #: Similarity as a fraction: linked when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 #: Shingles that a mapper gathers before it sends blocks.
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: Sets in a bucket up to which all its pairs are candidates at once.
 SMALL = 8
 #: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 20
-#: Rows up to which a table of ids is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 500_000
+REMEMBERED = 1 << 19
+#: Least bits of a set's sketch, a power of two; larger sets have two bits a shingle or more.
+SKETCH = 1024
+#: Members of a bucket that are compared in one block.
+BLOCK = 2048
 
 INDEX, PROBE, PROBE_CUTS, CUT_INDEX, CUT_PROBE = 1, 2, 4, 8, 16
 
@@ -166,12 +169,36 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bands: Band
     return tuple(np.concatenate([p[i] for p in parts]).astype(kind) for i, kind in enumerate((np.uint64, np.uint64, np.uint8)))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """For each of some buckets of shingles, whether their number is odd. Sets differ in as many shingles as their sketches in bits, or more."""
+    size = max(SKETCH, 2 << max(0, len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def _bits(sketches: pd.Series, length: int) -> np.ndarray:
+    """Sketches as rows of words, folded to `length` bytes: buckets that fall together add up, and so do their parities."""
+    out = np.empty((len(sketches), length // 8), np.uint64)
+    for i, x in enumerate(sketches):
+        v = np.frombuffer(x, np.uint64)
+        while len(v) > length // 8:
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        out[i] = v
+    return out
+
+
+def _possible(x: np.ndarray, y: np.ndarray, differ: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes x and y that differ in so many shingles at least can be linked."""
+    both = (x + y - differ) // 2
+    return (den * both >= num * (x + y - both)) & (den * np.minimum(x, y) >= num * np.maximum(x, y))
+
+
 def _digest(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes())
 
 
 def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[list, list]]:
     """Groups of documents: their ids, and their sets."""
+    claim("shingles", _HASHES.clear)
     ids, sets, held = [], [], 0
     for b in batches:
         for i, t in zip(b["doc_id"], b["text"], strict=True):
@@ -266,7 +293,7 @@ def _candidates(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
 
 
 def _known(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """Each document's set: doc_id, n_shingles, set (its digest, null if empty), band, weak (can't be looked up by signatures in its own band or the one below)."""
+    """Each document's set: doc_id, n_shingles, set (its digest, null if empty), band, weak (can't be looked up by signatures in its own band or the one below), sketch."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, sets in _sets(batches, words):
@@ -274,13 +301,13 @@ def _known(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
             flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
             weak = [allotted(flat, sizes, bands, below, False)["weak"] for below in (False, True)]
             digest = pd.array([None if not len(s) else int(_signed(np.uint64(_digest(s)))) for s in sets], dtype="Int64")
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_shingles": sizes.astype(np.int64), "set": digest, "band": bands.of(np.maximum(sizes, 1)).astype(np.int32), "weak": weak[0] | weak[1]})
+            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_shingles": sizes.astype(np.int64), "set": digest, "band": bands.of(np.maximum(sizes, 1)).astype(np.int32), "weak": weak[0] | weak[1], "sketch": [sketch(s) for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set long, band int, weak boolean")
+    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set long, band int, weak boolean, sketch binary")
 
 
 def _whole(docs: DataFrame, known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set, size, shingles) of the wanted sets, computed anew from one document of each."""
+    """(set, shingles) of the wanted sets, computed anew from one document of each."""
     first = known.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("_first")).join(wanted, "set").select("_first").distinct()
     first = written(first, "join-first")
     small = first.count() <= BROADCAST_ROWS
@@ -289,16 +316,101 @@ def _whole(docs: DataFrame, known: DataFrame, wanted: DataFrame, words: int) ->
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, sets in _sets(batches, words):
             full = [s for s in sets if len(s)]
-            yield pd.DataFrame({"set": _signed(np.array([_digest(s) for s in full], np.uint64)), "size": [len(s) for s in full], "shingles": [s.tobytes() for s in full]})
+            yield pd.DataFrame({"set": _signed(np.array([_digest(s) for s in full], np.uint64)), "shingles": [s.tobytes() for s in full]})
+
+    return texts.mapInPandas(rows, "set long, shingles binary").dropDuplicates(["set"])
 
-    return written(texts.mapInPandas(rows, "set long, size long, shingles binary").dropDuplicates(["set"]), "join-whole")
+
+def _hopeful(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, other columns) that sizes and sketches don't rule out."""
+    columns = pairs.columns
+    both = pairs.join(sets.toDF("a", "x", "left"), "a").join(sets.toDF("b", "y", "right"), "b").filter(F.greatest("x", "y") * num <= F.least("x", "y") * den)
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            length = np.minimum(t["left"].map(len), t["right"].map(len)).to_numpy()
+            differ = np.zeros(len(t), np.int64)
+            for n in np.unique(length):
+                at = length == n
+                differ[at] = np.bitwise_count(_bits(t.loc[at, "left"], n) ^ _bits(t.loc[at, "right"], n)).sum(axis=1, dtype=np.int64)
+            yield t.loc[_possible(t["x"].to_numpy(), t["y"].to_numpy(), differ, num, den), columns]
+
+    return both.select(*columns, "x", "y", "left", "right").mapInPandas(kept, pairs.schema)
+
+
+def _spanning(root: np.ndarray, size: np.ndarray, ids: np.ndarray, bits: np.ndarray, num: int, den: int) -> tuple[list, list]:
+    """Hopeful pairs that connect what all hopeful pairs connect, members of one root being connected already. Members are in order of ids.
+
+    A search from member to member that compares with those not reached yet: where all are alike, one pass reaches them all.
+    """
+    left, right, new = [], [], np.ones(len(ids), bool)
+    for start in range(len(ids)):
+        if not new[start]:
+            continue
+        same = root == root[start]
+        new &= ~same
+        reached = list(np.flatnonzero(same))
+        while reached:
+            at = reached.pop()
+            rest = np.flatnonzero(new)
+            if not len(rest):
+                break
+            hit = rest[_possible(size[at], size[rest], np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1, dtype=np.int64), num, den)]
+            if len(hit):
+                roots, first = np.unique(root[hit], return_index=True)
+                left += [ids[at]] * len(first)
+                right += list(ids[hit[first]])
+                more = np.flatnonzero(new & np.isin(root, roots))
+                new[more] = False
+                reached += list(more)
+    return left, right
+
+
+def _every(root: np.ndarray, size: np.ndarray, ids: np.ndarray, bits: np.ndarray, num: int, den: int) -> tuple[list, list]:
+    """All hopeful pairs of members of different roots."""
+    left, right = [], []
+    for at in range(len(ids) - 1):
+        rest = at + 1 + np.flatnonzero(root[at + 1 :] != root[at])
+        hit = rest[_possible(size[at], size[rest], np.bitwise_count(bits[rest] ^ bits[at]).sum(axis=1, dtype=np.int64), num, den)]
+        left += [ids[at]] * len(hit)
+        right += list(ids[hit])
+    return left, right
+
+
+def _across(members: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+    """Pairs (a, b) of members (key, set, root, size, sketch) of one key and different roots that sizes and sketches don't rule out: every one, or as many as connect them.
+
+    A key's members are dealt into blocks, and a task compares two blocks: no pair becomes a row unless it is asked for.
+    """
+    number = members.groupBy("key").agg((F.count("*") / BLOCK).cast("int").alias("more")).filter("more > 0")
+    dealt = members.join(number, "key", "left").withColumn("blocks", F.coalesce("more", F.lit(0)) + 1).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    tiles = dealt.select("key", "set", "root", "size", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "root", "size", "sketch")
+    tile = ["key", "lo", "hi"]
+    pick = _every if every else _spanning
+
+    def compared(t: pd.DataFrame) -> pd.DataFrame:
+        left, right = pick(t["root"].to_numpy(), t["size"].to_numpy(), t["set"].to_numpy(), _bits(t["sketch"], min(map(len, t["sketch"]))), num, den)
+        return pd.DataFrame({"a": np.minimum(left, right).astype(np.int64), "b": np.maximum(left, right).astype(np.int64)})
+
+    def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            t = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            names = t[tile].to_numpy()
+            starts = np.r_[0, np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1]
+            out = [compared(t.iloc[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            rest = t.iloc[starts[-1] :]
+            if out:
+                yield pd.concat(out).drop_duplicates()
+        if rest is not None and len(rest):
+            yield compared(rest)
+
+    return tiles.repartition(*tile).sortWithinPartitions(*tile, "set").mapInPandas(groups, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) that are linked."""
-    sizes = whole.select("set", "size")
-    near = pairs.select("a", "b").join(sizes.toDF("a", "x"), "a").join(sizes.toDF("b", "y"), "b").filter(F.greatest("x", "y") * num <= F.least("x", "y") * den).select("a", "b")
-    both = near.join(whole.select(F.col("set").alias("a"), F.col("shingles").alias("left")), "a").join(whole.select(F.col("set").alias("b"), F.col("shingles").alias("right")), "b")
+    both = pairs.select("a", "b").join(whole.select(F.col("set").alias("a"), F.col("shingles").alias("left")), "a").join(whole.select(F.col("set").alias("b"), F.col("shingles").alias("right")), "b")
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
@@ -332,34 +444,55 @@ def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN)
         reach = weak.select(F.col("set").alias("w"), F.col("n_shingles").alias("x"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
         more = reach.join(sets, "band").filter((F.col("w") != F.col("set")) & (F.greatest("x", "n_shingles") * num <= F.least("x", "n_shingles") * den))
         pairs = pairs.unionByName(more.select(F.least("w", "set").alias("a"), F.greatest("w", "set").alias("b"), F.lit(1).cast("bigint").alias("n"))).groupBy("a", "b").agg(F.max("n").alias("n"))
-    pairs, members = written(pairs, "join-pairs"), written(members, "join-members")
+    sets = written(known.filter("set is not null").groupBy("set").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "join-sets")
+    pairs, members = written(_hopeful(pairs, sets, num, den), "join-pairs"), written(members, "join-members")
     discard(found)
-    wanted = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()  # members are in pairs with their key's first
-    whole = _whole(docs, known, wanted, words)
-
-    # the pair of each set with its likeliest partner, ties to the smaller
-    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "n").union(pairs.select("b", "a", "n"))
-    best = ends.groupBy("x").agg(F.max_by("y", F.struct("n", -F.col("y"))).alias("y"))
-    best = written(best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "join-best")
-    links = written(_verified(best, whole, num, den), "join-links")
-    roots = components(links)
 
-    # the others, where the ends aren't in one component yet
-    def apart(p: DataFrame) -> DataFrame:
+    def linked(p: DataFrame) -> DataFrame:
+        whole = written(_whole(docs, known, p.select(F.col("a").alias("set")).union(p.select("b")).distinct(), words), "join-whole")
+        out = written(_verified(p, whole, num, den), "join-links")
+        discard(whole)
+        return out
+
+    crowded = not members.isEmpty()
+
+    def among(roots: DataFrame | None, every: bool) -> DataFrame:
+        """Pairs of members of one bucket that are in different components so far."""
+        if roots is None:
+            return _across(members.withColumn("root", F.col("set")).join(sets, "set"), num, den, every)
+        at = small(roots)
+        rooted = members.join(at, members["set"] == at["node"], "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        return _across(rooted.join(mixed, "key", "left_semi").join(sets, "set"), num, den, every)
+
+    def apart(roots: DataFrame) -> DataFrame:
+        p, at = pairs.select("a", "b"), small(roots)
         for end in ("a", "b"):
-            p = p.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            p = p.join(at.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
         return p.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
-    rest = apart(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"))
-    if not members.isEmpty():
-        rooted = members.join(roots, members["set"] == roots["node"], "left").select("key", "set", F.coalesce("root", "set").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        rooted = written(rooted.join(mixed, "key", "left_semi"), "join-mixed")
-        other = rooted.select("key", F.col("set").alias("b"), F.col("root").alias("other"))
-        rest = rest.unionByName(rooted.join(other, "key").filter("root < other").select(F.least("set", "b").alias("a"), F.greatest("set", "b").alias("b"))).distinct().join(best, ["a", "b"], "left_anti")
-    more = written(_verified(rest, whole, num, den), "join-links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    # first pairs that connect what all hopeful pairs connect: each set with its smallest partner, and a forest in each crowded
+    # bucket. If all are linked, so is whatever else is hopeful; else what they failed to connect is tried by other pairs,
+    # as few as connect it, and when those are used up by every one.
+    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
+    rest = ends.groupBy("x").agg(F.min("y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    rest = written((rest.union(among(None, False)) if crowded else rest).distinct(), "join-rest")
+    tried, links, every = rest, linked(rest), False
+    roots = components(links)
+    while True:
+        rest = apart(roots)
+        rest = rest.union(among(roots, every)) if crowded else rest
+        rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "join-rest")
+        grown = False
+        if not rest.isEmpty():
+            more = linked(rest)
+            if grown := not more.isEmpty():
+                links = written(links.unionByName(more), "join-links")
+                roots = components(links)
+        if every or not crowded:
+            break
+        tried = written(tried.unionByName(rest), "join-tried")
+        every = not grown
 
     least = known.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("first")).join(roots, F.col("set") == F.col("node"), "left").select("set", F.coalesce("root", "set").alias("root"), "first")
     of_root = least.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -25,13 +25,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import partitions, written
+from quillspark.llm.common import claim, partitions, written
 
 CAPACITY = 2048
 #: Nodes of the search.
 NODES = 5000
 #: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 800_000
 #: Words that are tokenized at once.
 TOGETHER = 4096
 #: Characters for which lower(), split() and the tokenizer's own normalizer and white space agree: such texts go word by word.
@@ -130,6 +130,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path = tokenizer or default_tokenizer()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        claim("packing", _word_ids(path).known.clear)
         gc.disable()  # lists of many words, and no cycles: collection would only walk them again and again
         try:
             yield from parts(batches)

@@ -221,3 +221,30 @@ def test_mixing_edges(spark):
     assert mixing.mix(df, weights={}).count() == 0
     high = mixing.rates(df, epochs=900.0).filter("source = 'a'").first()
     assert abs(high["below"][-1] - 1) < 1e-9
+
+
+def test_forests_connect_what_all_hopeful_pairs_connect():
+    import pandas as pd
+
+    r = np.random.default_rng(8)
+    for _ in range(20):
+        sets = []
+        for _ in range(6):
+            base = r.integers(0, 2**63, 60).astype(np.uint64)
+            for _ in range(r.integers(1, 9)):
+                s = base.copy()
+                s[r.integers(0, 60, r.integers(0, 9))] = r.integers(0, 2**63)
+                sets.append(np.unique(s))
+        ids = np.sort(r.choice(10**6, len(sets), False))
+        root = np.where(r.random(len(sets)) < 0.3, ids[0], ids)
+        size, bits = np.array([len(s) for s in sets]), ngram_join._bits(pd.Series([ngram_join.sketch(s) for s in sets]), ngram_join.SKETCH // 8)
+
+        def joined(pairs):
+            name = dict(zip(ids.tolist(), root.tolist(), strict=True))
+            for a, b in zip(*pairs, strict=True):
+                x, y = name[int(a)], name[int(b)]
+                name = {k: min(x, y) if v in (x, y) else v for k, v in name.items()}
+            return name
+
+        few, many = (f(root, size, ids, bits, 80, 100) for f in (ngram_join._spanning, ngram_join._every))
+        assert joined(few) == joined(many) and len(few[0]) < len(ids)

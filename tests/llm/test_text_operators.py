@@ -203,6 +203,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style
 <header class="site">Site name</header><nav><ul><li><a href="/a">A</a></li><li><a>B</a></li></ul></nav><div class="ad">Buy {n}</div>
 <article><h1>Title {n}</h1><p>First&nbsp;  line &lt;{n}&gt; <b>bold</b>text<br>next<p>Second {n}</p><div class="comments"><p>me too</p></div><aside>see also</aside><form>name</form></article>
 <div id="cookie-notice">We use cookies</div><footer>&copy; 2024 {n}</footer></body></html>"""
+PAGE = PAGE.replace("<article>", '<div class="layout--sidebar-left has-comments"><article>').replace("</article>", "</article></div>")
 
 
 def test_extraction(spark):
