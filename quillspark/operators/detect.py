@@ -402,9 +402,11 @@ class Cascade:
             if self.gate:
                 step()
         if neural and self.title and not self.taken:
-            for x in neural(self.c):  # b, e, cand, ratio and sure
+            hits = neural(self.c)  # b, e, cand, ratio and sure
+            for x in hits:
                 if x["sure"]:
                     self.accept(x, NEURAL, x["ratio"])
+            self.escalate([x for x in hits if not x["sure"] and self.flags[x["b"]] > 0 and x["ratio"] < self.suspect_ratio], NEURAL_MODEL)
         if self.gate:
             self.split()
         return first_of_cells(self.taken)

@@ -130,6 +130,8 @@ def test_similar_words_and_neural_titles():
     assert run(clause(words=["甲甲", *"乙丙丁戊"], cands=[cand("word", 0, "AB", 0.1)]), similar={("甲甲", "AB")}) == []
     title = clause(words=WORDS, sno=0)
     assert run(title, neural=lambda c: [cand("neural", 2, "x", 0.9) | {"sure": True}]) == [(2, 2, "x", 17, 0.9)]
+    doubt = lambda c: [cand("neural", 2, "x", 0.5) | {"sure": False}]
+    assert run(title, neural=doubt) == [] and run(clause(words=WORDS, sno=0, judged_wrong=True), neural=doubt) == [(2, 2, "x", 22, 0.5)]
 
 
 def test_a_failing_clause_does_not_end_the_job(spark):
