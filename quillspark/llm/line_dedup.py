@@ -24,9 +24,9 @@ KEY = ["h1", "h2"]
 SECOND = "second line hash"
 
 
-def line_key(line: Column) -> Column:
-    """The line with ASCII white space stripped at both ends and A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(ASCII_SPACE)))
+def line_keys(lines: Column) -> Column:
+    """Of an array of lines: each with ASCII white space stripped at both ends and A-Z lower-cased. Step by step, as a lambda evaluates what it mentions twice twice."""
+    return F.transform(F.transform(lines, lambda x: F.btrim(x, F.lit(ASCII_SPACE))), ascii_lower)
 
 
 def _hashed(key: Column) -> Column:
@@ -93,7 +93,7 @@ def verdicts(docs: DataFrame, text: str = "text", batches: int = BATCHES, fanout
     number = F.lit(0)
     for x in lo:
         number = number + (F.col("doc_id") >= x).cast("int")
-    held = docs.filter("doc_id is not null").select("doc_id", number.alias("batch"), F.explode(F.array_distinct(F.transform(_lines(text), lambda x: _hashed(line_key(x))))).alias("h"))
+    held = docs.filter("doc_id is not null").select("doc_id", number.alias("batch"), F.explode(F.array_distinct(F.transform(line_keys(_lines(text)), _hashed))).alias("h"))
     held = written(held.filter("h is not null").select("doc_id", "batch", "h.h1", "h.h2"), "line-hashes")
     keys = written(held.groupBy("batch", *KEY).agg(F.min("doc_id").alias("owner"), (F.min("doc_id") != F.max("doc_id")).alias("many")), "line-keys")
     runs, out = LineRuns(fanout), None
@@ -112,12 +112,17 @@ def dedup_lines(docs: DataFrame, text: str = "text", batches: int = BATCHES, fan
 
     A key of at least 10 code points that two or more documents hold loses all its lines except those in the smallest
     doc_id that holds it. Rows that share a doc_id are one document here. Null and empty texts are one empty line. Rows
-    with a null doc_id neither lose lines nor take them from others. Other columns pass through.
+    with a null doc_id neither lose lines nor take them from others. Other columns pass through, but for those with the names
+    of the new ones.
     """
+    docs = docs.drop("_id", "_lost", "_kept", "n_lines", "n_dropped", "kept")
     lost = verdicts(docs, text, batches, fanout).groupBy("doc_id").agg(F.collect_set("h").alias("_lost")).withColumnRenamed("doc_id", "_id")
     joined = docs.join(lost, docs["doc_id"] == lost["_id"], "left").drop("_id")
     lines = _lines(text)
-    kept = F.when(F.col("_lost").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains(F.col("_lost"), _hashed(line_key(x))), F.lit(False))))
+    # each line beside its hash, so that the lambda mentions neither expression: the optimizer would put it in and evaluate it once a line
+    paired = F.zip_with(lines, F.transform(line_keys(lines), _hashed), lambda x, h: F.struct(x.alias("x"), h.alias("h")))
+    stays = F.filter(paired, lambda p: ~F.coalesce(F.array_contains(F.col("_lost"), p["h"]), F.lit(False)))
+    kept = F.when(F.col("_lost").isNull(), lines).otherwise(F.transform(stays, lambda p: p["x"]))
     return joined.withColumns({"n_lines": F.size(lines).cast("bigint"), "_kept": kept}).withColumns({"n_dropped": F.col("n_lines") - F.size("_kept"), "kept": F.array_join("_kept", "\n")}).drop("_lost", "_kept")
 
 
