@@ -67,6 +67,18 @@ def claim(name: str, clear: Callable[[], None]) -> None:
         _USED[:] = [name]
 
 
+#: Most rows of a batch that goes to a Python worker.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows: with whole texts, the default of 10000 is too much memory for a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

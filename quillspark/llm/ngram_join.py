@@ -13,8 +13,8 @@ finds equal signatures by sorting arrays. Sets are known by a 64-bit digest, so
 
 Candidates that sizes and small sketches of the sets can't rule out are verified exactly on the whole sets. What is wanted is
 components, so each set's pair with its smallest partner goes first, and other pairs are verified only if their ends are not
-yet in one component. A bucket with many sets sends pairs with one of them, and its members; pairs among its other members
-follow only where components still differ.
+yet in one component. A bucket with many sets sends its members; a forest of hopeful pairs connects them, and other pairs
+follow only where that fails.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_ROWS, claim, discard, partitions, small, written
+from quillspark.llm.common import BROADCAST_ROWS, discard, partitions, small, small_batches, written
 from quillspark.llm.components import components
 
 WORDS = 5
@@ -37,8 +37,6 @@ NUM, DEN = 80, 100
 BATCH = 1 << 19
 #: Sets in a bucket up to which all its pairs are candidates at once.
 SMALL = 8
-#: Words whose hashes a worker remembers.
-REMEMBERED = 1 << 19
 #: Least bits of a set's sketch, a power of two; larger sets have two bits a shingle or more.
 SKETCH = 1024
 #: Members of a bucket that are compared in one block.
@@ -47,15 +45,6 @@ BLOCK = 2048
 INDEX, PROBE, PROBE_CUTS, CUT_INDEX, CUT_PROBE = 1, 2, 4, 8, 16
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 
@@ -66,17 +55,54 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of a text's word shingles; with fewer words, of the whole sequence; none without words.
+_BASE = 0xD6E8FEB86659FD93
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Powers of the base and of its inverse modulo 2**64, as far as the longest text so far needs.
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a text that are hashed together; longer ones are cut at white space.
+CHUNK = 1 << 20
 
-    A-Z are lower-cased and words are runs of anything but ASCII white space, which is what bytes.lower and split do.
-    """
-    found = text.encode().lower().split() if text else []
-    if not found:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
-    width = min(words, len(found))
-    out = np.full(len(found) - width + 1, width, np.uint64)
+
+def _powers(size: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < size:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[i] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(2 * max(size, 4096), base, np.uint64))])
+    return _POWERS
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """Of each word a polynomial of its bytes, from running sums over the whole text: the same wherever the word stands."""
+    b = np.frombuffer(raw, np.uint8)
+    word = np.zeros(len(b) + 2, np.int8)
+    word[1:-1] = ~_SPACE[b]
+    step = np.diff(word)
+    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+    up, down = _powers(len(b) + 1)
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
+    return _mixed((total[end] - total[start]) * down[start])
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A-Z are lower-cased, and words are runs of anything but ASCII white space."""
+    raw, parts, at = (text or "").encode().lower(), [np.empty(0, np.uint64)], 0
+    while at < len(raw):
+        end = min(len(raw), at + CHUNK)
+        while end < len(raw) and not _SPACE[raw[end]]:
+            end += 1
+        parts.append(_word_hashes(raw[at:end]))
+        at = end
+    return np.concatenate(parts)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct hashes of a text's word shingles; with fewer words, of the whole sequence; none without words."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    width = min(words, len(h))
+    out = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
         out += h[i : len(h) - width + 1 + i] * _MULT[i % len(_MULT)] if i < len(_MULT) else _mixed(h[i : len(h) - width + 1 + i] + np.uint64(i))
     return np.unique(_mixed(out))
@@ -93,9 +119,10 @@ class Bands:
         self.lo = np.array(self.lo)
         most = self.lo[1:] - 1  # largest size of each band
         need = self.needed(most, most * den // num)
-        small = most <= 128
-        self.segments = np.where(small, -(-need * 3 // 4) + (need > 4), need + 4 + need // 25)
-        self.cuts = np.where(small, self.segments, 3)  # so many segments, the first ones, have their deletions indexed
+        # few segments are all cut; of many, so many that empty ones are made up for: allocations fall short about never
+        few = most <= 32
+        self.segments = np.where(few, -(-need * 3 // 4) + (need > 4), need + 4 + need // 25)
+        self.cuts = np.where(few, self.segments, np.where(most <= 128, 8, 3))  # the first segments have their deletions indexed
         self.most = most
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
@@ -198,7 +225,6 @@ def _digest(s: np.ndarray) -> int:
 
 def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[list, list]]:
     """Groups of documents: their ids, and their sets."""
-    claim("shingles", _HASHES.clear)
     ids, sets, held = [], [], 0
     for b in batches:
         for i, t in zip(b["doc_id"], b["text"], strict=True):
@@ -226,7 +252,7 @@ def _wanted() -> np.ndarray:
 
 
 def matched(key: np.ndarray, ids: np.ndarray, flags: np.ndarray, small: int = SMALL) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate pairs (two arrays), and the members (key, id) of keys with more than `small` sets, of which pairs with the first only are candidates."""
+    """Candidate pairs (two arrays) of keys with `small` sets at most, and the members (key, id) of the others."""
     order = np.argsort(key, kind="stable")
     k = key[order]
     twin = np.r_[False, k[1:] == k[:-1]]
@@ -247,9 +273,6 @@ def matched(key: np.ndarray, ids: np.ndarray, flags: np.ndarray, small: int = SM
         i = i[((wanted[f[i]] & f[i + off]) | (wanted[f[i + off]] & f[i])) > 0]
         left.append(s[i])
         right.append(s[i + off])
-    big = np.flatnonzero((length > small) & (head != np.arange(len(k))))
-    left.append(s[head[big]])
-    right.append(s[big])
     members = np.flatnonzero(length > small)
     return np.concatenate(left), np.concatenate(right), k[members], s[members]
 
@@ -433,6 +456,7 @@ def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN)
     give no id: component_id is null where no reachable row has one. Other columns are ignored.
     Shingles and sets are compared by 64-bit hashes.
     """
+    small_batches(docs.sparkSession)
     bands = Bands(LARGEST, num, den)
     known = written(_known(docs, words, bands), "join-known")
     found = written(_candidates(docs, words, bands), "join-found")
