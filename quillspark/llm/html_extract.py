@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import small_batches, written
 
 #: Share of a host's pages in which a class must hold.
 SUPPORT = 0.5
@@ -49,10 +49,12 @@ MAIN = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
 #: Words of class and id names of what is no article.
 NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "side",
-    "aside", "widget", "footer", "foot", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar",
+    "aside", "widget", "footer", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social",
     "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "related", "recommended", "recommendations", "trending", "copyright", "disclaimer", "toolbar", "masthead", "topbar", "pagination", "pager", "search", "form", "skip",
 }
+#: Words of names that say how a page is laid out.
+LAYOUT = {"no", "not", "has", "with", "without", "layout"}
 
 
 def host(url: Column) -> Column:
@@ -71,8 +73,14 @@ def _hash(text: str, seed: int = 0) -> int:
     return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=seed)
 
 
-def _names(value: str) -> set[str]:
-    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+def _says_apart(label: str, inside: bool) -> bool:
+    """Whether a name of class or id has a word of NAMES and none of LAYOUT: 'has-sidebar' is no sidebar. Headers inside the article belong to it."""
+    for name in label.split():
+        words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w}
+        words.add(re.sub("[^a-z]", "", name.lower()))
+        if LAYOUT.isdisjoint(words) and (not NAMES.isdisjoint(words) or ("header" in words and not inside)):
+            return True
+    return False
 
 
 def _role(name: str, attributes: str, parent: _Element) -> tuple[bool, str]:
@@ -81,7 +89,7 @@ def _role(name: str, attributes: str, parent: _Element) -> tuple[bool, str]:
     label = f"{found.get('class', '')} {found.get('id', '')}".strip()
     apart = parent.apart or name in APART or (name == "header" and not parent.main) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
     if not apart and label and name not in ("html", "body", "article", "main"):
-        apart = bool(_names(label) & NAMES)
+        apart = _says_apart(label, parent.main)
     return apart, label
 
 
@@ -231,6 +239,7 @@ def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     block made one space, trimmed; '' where there is none. Null, empty and broken html give what can be read of it. Pages
     with a null or unreadable url are one host. Rows with the same page_id are pages each. Other columns are ignored.
     """
+    small_batches(pages.sparkSession)
     at = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     found = written(templates(at, support), "html-templates")
     tokens = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
