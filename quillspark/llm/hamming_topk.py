@@ -20,8 +20,8 @@ from quillspark.llm.common import written
 from quillspark.llm.vectors import K, QUERY_STEP, nearest, usable
 
 BITS = 64
-#: Bits of a segment. About log2 of the number of codes: lists then hold one code on average.
-SEGMENT = 16
+#: Codes below which segments are narrow.
+FEW = 4096
 
 
 def code(vector: str = "embedding") -> Column:
@@ -29,8 +29,14 @@ def code(vector: str = "embedding") -> Column:
     return F.aggregate(F.transform(F.slice(F.col(vector), 1, BITS), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
 
-def _segment(c: Column, i: int, width: int) -> Column:
-    return F.shiftrightunsigned(c, i * width).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+def segments(codes: int) -> list[tuple[int, int]]:
+    """(first bit, width) of each segment. 16 bits keep the masks of a step few and the lists of millions of codes short; few codes have 8."""
+    width = 16 if codes >= FEW else 8
+    return [(at, width) for at in range(0, BITS, width)]
+
+
+def _segment(c: Column, at: tuple[int, int]) -> Column:
+    return F.shiftrightunsigned(c, at[0]).bitwiseAND(F.lit((1 << at[1]) - 1)).cast("int")
 
 
 def _flips(width: int, radius: int) -> Column:
@@ -45,47 +51,50 @@ def _least_ids(rows: DataFrame, keep: int) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(of)).filter(F.col("n") <= keep).drop("n")
 
 
-def search(rows: DataFrame, k: int = K, id: str = "vec_id", vector: str = "embedding", query_step: int = QUERY_STEP, width: int = SEGMENT) -> DataFrame:
+def search(rows: DataFrame, k: int = K, id: str = "vec_id", vector: str = "embedding", query_step: int = QUERY_STEP) -> DataFrame:
     """query_id, rank, vec_id, distance (Hamming, of sign codes) of each query's k nearest, ties to the smaller id.
 
     Queries are the rows whose id query_step divides, candidates all rows but the query's own. Rows with a null id and
     unusable vectors (null, empty, zero, or with null or non-finite components) take no part. Rows that share an id and a
     code are one.
     """
-    spark, segments = rows.sparkSession, BITS // width
     fit = rows.filter(F.col(id).isNotNull() & usable(vector)).select(F.col(id).cast("bigint").alias("id"), code(vector).alias("code"))
     fit = written(fit.distinct(), "mih-codes")
     entries = written(_least_ids(fit, k + 1).groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "mih-entries")
     queries = fit.filter(F.col("id") % query_step == 0)
     codes = written(queries.select("code").distinct(), "mih-queries")  # queries with one code have one search
     total = entries.count()
-    index = written(entries.select("code", "ids", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), _segment(F.col("code"), i, width).alias("val")) for i in range(segments)])).alias("at")).select("code", "ids", "at.seg", "at.val"), "mih-index")
-    open_codes, met, done = codes, None, []
-    for step in range(segments * (width + 1)):
-        radius, seg = divmod(step, segments)
-        looked = open_codes.select(F.col("code").alias("query"), F.explode(_flips(width, radius)).alias("mask"))
-        looked = looked.withColumn("val", _segment(F.col("query"), seg, width).bitwiseXOR(F.col("mask")))
-        found = looked.join(index.filter(F.col("seg") == seg).select("code", "ids", "val"), "val").select("query", "code", "ids").withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int"))
+    cut = segments(total)
+    index = written(entries.select("code", "ids", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), _segment(F.col("code"), at).alias("val")) for i, at in enumerate(cut)])).alias("at")).select("code", "ids", "at.seg", "at.val"), "mih-index")
+    # worst: no code farther than this can be among a query's k nearest; the join leaves such codes out
+    open_codes, met, done = codes.withColumn("worst", F.lit(BITS)), None, []
+    if total <= k + 1:  # every entry is in every result, and they are few
+        done.append(codes.select(F.col("code").alias("query")).join(F.broadcast(entries), F.lit(True)).withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")))
+    for step in () if done else range(len(cut) * (max(w for _, w in cut) + 1)):
+        radius, seg = divmod(step, len(cut))
+        covered = len(cut) * radius + seg
+        if radius > cut[seg][1]:  # the whole segment has been searched
+            continue
+        looked = open_codes.select(F.col("code").alias("query"), "worst", F.explode(_flips(cut[seg][1], radius)).alias("mask"))
+        looked = looked.withColumn("val", _segment(F.col("query"), cut[seg]).bitwiseXOR(F.col("mask")))
+        found = looked.join(index.filter(F.col("seg") == seg).select("code", "ids", "val"), "val").select("query", "worst", "code", "ids").withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int"))
         # a code is verified once: at its first segment in the order of steps that is within reach
         earlier = F.lit(False)
-        for i in range(segments):
+        for i in range(len(cut)):
             reach = radius if i < seg else radius - 1
             if i != seg and reach >= 0:
-                earlier = earlier | (F.bit_count(_segment(F.col("query").bitwiseXOR(F.col("code")), i, width).cast("bigint")) <= reach)
-        found = found.filter(~earlier)
+                earlier = earlier | (F.bit_count(_segment(F.col("query").bitwiseXOR(F.col("code")), cut[i]).cast("bigint")) <= reach)
+        found = found.filter((F.col("distance") <= F.col("worst")) & ~earlier).drop("worst")
         met = found if met is None else met.unionByName(found)
-        if seg < segments - 1 and radius < 3:  # early steps are cheap; look at the verdict once a radius
+        if seg < len(cut) - 1 and radius < 3:  # early steps are cheap; look at the verdict once a radius
             continue
-        covered = segments * radius + seg
         met_now = written(_closest(met, k), "mih-met")
         sure = met_now.filter(F.col("distance") <= covered).groupBy("query").agg(F.sum(F.size("ids")).alias("n"))
         closed = sure.filter(F.col("n") >= k + 1).select("query")
-        last = covered >= BITS or total == 0
-        over = met_now if last else met_now.join(closed, "query", "left_semi")
-        done.append(over)
-        if last:
-            break
-        left = written(open_codes.join(closed.withColumnRenamed("query", "code"), "code", "left_anti"), "mih-open")
+        done.append(met_now.join(closed, "query", "left_semi"))
+        bound = met_now.groupBy(F.col("query").alias("code")).agg(F.when(F.count("*") > k, F.max("distance")).alias("bound"))
+        left = open_codes.join(closed.withColumnRenamed("query", "code"), "code", "left_anti").join(bound, "code", "left")
+        left = written(left.select("code", F.coalesce("bound", F.lit(BITS)).alias("worst")), "mih-open")
         met = met_now.join(closed, "query", "left_anti")
         open_codes = left
         if left.isEmpty():
