@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import discard, written
+from quillspark.llm.common import discard, small_batches, written
 
 #: Smoothing of word counts.
 ALPHA = 0.1
@@ -200,6 +200,18 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of words joined to TOGETHER rows or more."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= TOGETHER:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def fitted(counts: DataFrame, documents: int, path: str) -> np.ndarray:
     """Weights after one expectation step over the training words, mixed with the starting ones. The end piece counts once a document.
 
@@ -209,7 +221,7 @@ def fitted(counts: DataFrame, documents: int, path: str) -> np.ndarray:
 
     def expected(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice, into = Lattice(path), np.zeros(len(start))
-        for b in batches:
+        for b in _gathered(batches):
             into += lattice.expected([w.decode() for w in b["word"]], b["c"].to_numpy(float))
         at = np.flatnonzero(into)
         yield pd.DataFrame({"piece": at.astype(np.int32), "n": into[at]})
@@ -243,6 +255,7 @@ def score(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQUE
     Other columns are ignored. Words beyond the frequent ones meet their counts by 64-bit hashes.
     """
     path = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
     counts = written(word_counts(docs), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     training = docs.select("doc_id").filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) != 0).count()
@@ -252,7 +265,7 @@ def score(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQUE
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(path, weights)
-        for b in batches:
+        for b in _gathered(batches):
             h = np.fromiter(map(xxhash.xxh3_64_intdigest, b["word"]), np.uint64, len(b)).view(np.int64)
             yield pd.DataFrame({"h": h, "word": b["word"], "c": b["c"], "l": lattice.log10([w.decode() for w in b["word"]])})
 

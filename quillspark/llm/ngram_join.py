@@ -401,19 +401,22 @@ def _every(root: np.ndarray, size: np.ndarray, ids: np.ndarray, bits: np.ndarray
 
 
 def _across(members: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """Pairs (a, b) of members (key, set, root, size, sketch) of one key and different roots that sizes and sketches don't rule out: every one, or as many as connect them.
+    """Pairs (key, a, b) of members (key, set, root, size, sketch) of one key and different roots that sizes and sketches don't rule out: every one, or as many as connect them.
 
     A key's members are dealt into blocks, and a task compares two blocks: no pair becomes a row unless it is asked for.
     """
     number = members.groupBy("key").agg((F.count("*") / BLOCK).cast("int").alias("more")).filter("more > 0")
-    dealt = members.join(number, "key", "left").withColumn("blocks", F.coalesce("more", F.lit(0)) + 1).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
-    tiles = dealt.select("key", "set", "root", "size", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "root", "size", "sketch")
+    if number.isEmpty():
+        tiles = members.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "set", "root", "size", "sketch")
+    else:
+        dealt = members.join(number, "key", "left").withColumn("blocks", F.coalesce("more", F.lit(0)) + 1).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+        tiles = dealt.select("key", "set", "root", "size", "sketch", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "root", "size", "sketch")
     tile = ["key", "lo", "hi"]
     pick = _every if every else _spanning
 
     def compared(t: pd.DataFrame) -> pd.DataFrame:
         left, right = pick(t["root"].to_numpy(), t["size"].to_numpy(), t["set"].to_numpy(), _bits(t["sketch"], min(map(len, t["sketch"]))), num, den)
-        return pd.DataFrame({"a": np.minimum(left, right).astype(np.int64), "b": np.maximum(left, right).astype(np.int64)})
+        return pd.DataFrame({"key": np.full(len(left), t["key"].iloc[0], np.int64), "a": np.minimum(left, right).astype(np.int64), "b": np.maximum(left, right).astype(np.int64)})
 
     def groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -424,11 +427,11 @@ def _across(members: DataFrame, num: int, den: int, every: bool) -> DataFrame:
             out = [compared(t.iloc[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
             rest = t.iloc[starts[-1] :]
             if out:
-                yield pd.concat(out).drop_duplicates()
+                yield pd.concat(out)
         if rest is not None and len(rest):
             yield compared(rest)
 
-    return tiles.repartition(*tile).sortWithinPartitions(*tile, "set").mapInPandas(groups, "a long, b long").distinct()
+    return tiles.repartition(*tile).sortWithinPartitions(*tile, "set").mapInPandas(groups, "key long, a long, b long")
 
 
 def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
@@ -480,43 +483,55 @@ def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN)
 
     crowded = not members.isEmpty()
 
-    def among(roots: DataFrame | None, every: bool) -> DataFrame:
+    def among(rows: DataFrame, roots: DataFrame | None, every: bool) -> DataFrame:
         """Pairs of members of one bucket that are in different components so far."""
         if roots is None:
-            return _across(members.withColumn("root", F.col("set")).join(sets, "set"), num, den, every)
+            return _across(rows.withColumn("root", F.col("set")).join(sets, "set"), num, den, every)
         at = small(roots)
-        rooted = members.join(at, members["set"] == at["node"], "left").select("key", "set", F.coalesce("root", "set").alias("root"))
+        rooted = rows.join(at, rows["set"] == at["node"], "left").select("key", "set", F.coalesce("root", "set").alias("root"))
         mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        return _across(rooted.join(mixed, "key", "left_semi").join(sets, "set"), num, den, every)
+        return _across(written(rooted.join(mixed, "key", "left_semi"), "join-mixed").join(sets, "set"), num, den, every)
 
-    def apart(roots: DataFrame) -> DataFrame:
-        p, at = pairs.select("a", "b"), small(roots)
+    def apart(p: DataFrame, roots: DataFrame) -> DataFrame:
+        at, columns = small(roots), p.columns
         for end in ("a", "b"):
             p = p.join(at.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-        return p.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-
-    # first pairs that connect what all hopeful pairs connect: each set with its smallest partner, and a forest in each crowded
-    # bucket. If all are linked, so is whatever else is hopeful; else what they failed to connect is tried by other pairs,
-    # as few as connect it, and when those are used up by every one.
-    ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).union(pairs.select("b", "a"))
-    rest = ends.groupBy("x").agg(F.min("y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    rest = written((rest.union(among(None, False)) if crowded else rest).distinct(), "join-rest")
-    tried, links, every = rest, linked(rest), False
+        return p.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(columns)
+
+    # hopeful pairs that connect what all hopeful pairs connect: those of small buckets, and a forest in each crowded one
+    edges = written(among(members, None, False), "join-edges") if crowded else None
+    hopeful = pairs.select("a", "b")
+    hopeful = written((hopeful.union(edges.select("a", "b")) if crowded else hopeful).distinct(), "join-hopeful")
+    # each set's pair with its smallest partner is verified first, then those that are still apart
+    ends = hopeful.select(F.col("a").alias("x"), F.col("b").alias("y")).union(hopeful.select("b", "a"))
+    tried = written(ends.groupBy("x").agg(F.min("y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "join-tried")
+    links = linked(tried)
     roots = components(links)
-    while True:
-        rest = apart(roots)
-        rest = rest.union(among(roots, every)) if crowded else rest
+
+    def more_links(rest: DataFrame) -> bool:
+        """Verify what wasn't yet; whether components grew."""
+        nonlocal tried, links, roots
         rest = written(rest.distinct().join(tried, ["a", "b"], "left_anti"), "join-rest")
-        grown = False
-        if not rest.isEmpty():
-            more = linked(rest)
-            if grown := not more.isEmpty():
-                links = written(links.unionByName(more), "join-links")
-                roots = components(links)
-        if every or not crowded:
-            break
+        if rest.isEmpty():
+            return False
+        found = linked(rest)
         tried = written(tried.unionByName(rest), "join-tried")
-        every = not grown
+        if found.isEmpty():
+            return False
+        links = written(links.unionByName(found), "join-links")
+        roots = components(links)
+        return True
+
+    more_links(apart(hopeful, roots))
+    if crowded:
+        # a bucket whose forest is linked has nothing left to try; in the others what failed to connect may do so by other
+        # pairs: by as few as would, again and again, and when those are used up by every one
+        failed = written(apart(edges, roots).select("key").distinct(), "join-failed")
+        if not failed.isEmpty():
+            members = written(members.join(failed, "key", "left_semi"), "join-members")
+            while more_links(among(members, roots, False).select("a", "b")):
+                pass
+            more_links(among(members, roots, True).select("a", "b"))
 
     least = known.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("first")).join(roots, F.col("set") == F.col("node"), "left").select("set", F.coalesce("root", "set").alias("root"), "first")
     of_root = least.groupBy("root").agg(F.min("first").alias("component_id"))

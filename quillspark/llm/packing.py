@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import claim, partitions, written
+from quillspark.llm.common import claim, partitions, small_batches, written
 
 CAPACITY = 2048
 #: Nodes of the search.
@@ -304,6 +304,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     share a doc_id, or with a null one, are documents each. No documents: no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     cut = written(pieces(docs, tokenizer, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(partitions(spark))).cast("int")), "pack-pieces")
     part = written(cut.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack-parts")
     counts = np.zeros(capacity + 1, np.int64)

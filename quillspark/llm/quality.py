@@ -21,10 +21,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import small_batches, written
 
 #: Most labelled documents that the models are fitted to; a hash of the ids chooses them.
-TRAINING_ROWS = 12_000
+TRAINING_ROWS = 8_000
 #: A word is in the vocabulary if so many training documents have it.
 LEAST_DOCUMENTS = 5
 #: Steps of the fit over shares alone, of that which chooses words, and of that over the chosen ones.
@@ -210,6 +210,7 @@ def judge(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] = LEVELS,
     A null level value is a site of its own. Without labels, or with one class only, a head says the class's share. Other
     columns pass through; columns with those names are overwritten. Rows are judged one by one, repeated ids too.
     """
+    small_batches(docs.sparkSession)
     model = trained(docs, labels, rows)
 
     @F.pandas_udf("low double, toxic double")
