@@ -273,7 +273,9 @@ def matched(key: np.ndarray, ids: np.ndarray, flags: np.ndarray, small: int = SM
         i = i[((wanted[f[i]] & f[i + off]) | (wanted[f[i + off]] & f[i])) > 0]
         left.append(s[i])
         right.append(s[i + off])
-    members = np.flatnonzero(length > small)
+    # of a crowded key only members that some other's flags ask for, or that ask for some other's
+    has, asks = (np.repeat(np.bitwise_or.reduceat(x, start), size) for x in (f, wanted[f]))
+    members = np.flatnonzero((length > small) & (((wanted[f] & has) | (f & asks)) > 0))
     return np.concatenate(left), np.concatenate(right), k[members], s[members]
 
 

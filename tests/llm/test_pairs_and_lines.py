@@ -120,6 +120,8 @@ def test_large_buckets_keep_their_members():
     ids = np.arange(30, dtype=np.uint64)
     left, right, of, member = ngram_join.matched(key, ids, np.full(30, ngram_join.INDEX | ngram_join.PROBE, np.uint8))
     assert not len(left) and list(member) == list(ids) and set(of) == {9}
+    for flag in (ngram_join.PROBE, ngram_join.CUT_INDEX, ngram_join.CUT_PROBE):
+        assert not len(ngram_join.matched(key, ids, np.full(30, flag, np.uint8))[2])  # nothing of that kind looks up its like
 
 
 def test_sketches_never_overstate():
