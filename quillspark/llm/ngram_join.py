@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import BROADCAST_ROWS, discard, partitions, small, small_batches, written
+from quillspark.llm.common import BROADCAST_ROWS, claim, discard, partitions, small, small_batches, written
 from quillspark.llm.components import components
 
 WORDS = 5
@@ -71,6 +71,10 @@ def _powers(size: int) -> list[np.ndarray]:
     return _POWERS
 
 
+def _forget_powers() -> None:
+    _POWERS[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def _word_hashes(raw: bytes) -> np.ndarray:
     """Of each word a polynomial of its bytes, from running sums over the whole text: the same wherever the word stands."""
     b = np.frombuffer(raw, np.uint8)
@@ -225,6 +229,7 @@ def _digest(s: np.ndarray) -> int:
 
 def _sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[list, list]]:
     """Groups of documents: their ids, and their sets."""
+    claim("shingles", _forget_powers)
     ids, sets, held = [], [], 0
     for b in batches:
         for i, t in zip(b["doc_id"], b["text"], strict=True):

@@ -31,7 +31,7 @@ CAPACITY = 2048
 #: Nodes of the search.
 NODES = 5000
 #: Words whose ids a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 #: Words that are tokenized at once.
 TOGETHER = 4096
 #: Characters for which lower(), split() and the tokenizer's own normalizer and white space agree: such texts go word by word.

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, written
+from quillspark.llm.common import claim, small_batches, written
 
 #: Most labelled documents that the models are fitted to; a hash of the ids chooses them.
 TRAINING_ROWS = 8_000
@@ -215,6 +215,7 @@ def judge(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] = LEVELS,
 
     @F.pandas_udf("low double, toxic double")
     def evidence(texts: pd.Series) -> pd.DataFrame:
+        claim("quality", dict)  # nothing of its own to clear
         return pd.DataFrame(1 / (1 + np.exp(-model.log_odds(texts))), columns=list(HEADS))
 
     made = [f"{k}_{h}" for k in ("p", "site", "post") for h in HEADS]
