@@ -3,9 +3,9 @@
 Tokens of a page are its tags (name, class and id, and the path of elements around them) and its text nodes. Tokens of
 same-host pages that occur equally often in every page share an occurrence vector and form an equivalence class. A class is
 valid if it has two tokens or more, holds in most pages of the host, and its tokens follow each other in one order; valid
-classes are nested by the order of their tokens into the host's template. What lies between template tokens are slots. The
-text nodes of a template are boilerplate; a slot is extracted if the elements that the template puts around it make it part of
-the article.
+classes are nested by the order of their tokens into the host's template. What lies between template tokens are slots. Blocks
+of a template's text nodes are boilerplate wherever they stand; a slot is extracted if the elements that the template puts
+around it make it part of the article.
 
 Occurrence vectors are unbounded, so they are compared by a fingerprint that partial aggregation can add up: the sum over
 pages of a hash of (page, count). A host with a third of the pages is some rows a mapper, not one group.
@@ -182,24 +182,43 @@ def _blocks(page: str, template: dict[int, tuple[int, int, bool]]) -> list[str]:
     """The blocks of the article in page order. template: token to (its place, class, whether it is text).
 
     A slot is what lies between two template tokens of a valid class; a class whose tokens are out of order in this page is
-    no class here, and the text nodes of it are not boilerplate.
+    no class here. Blocks whose text nodes are all template are boilerplate, inside the article too; a block that holds
+    anything else is kept whole. A page with template text only has no slot that tells its article: tags and names alone do.
     """
     events = list(parsed(page))
-    last: dict[int, int] = {}
+    last: dict[int, tuple[int, int]] = {}
+    times: dict[int, int] = {}
     broken: set[int] = set()
     for _, token, _, _ in events:
         if (t := template.get(token)) is not None:
-            if last.get(t[1], -1) > t[0] and t[2]:  # a text token before a token of its class that should come first
+            # the tokens of a class occur equally often: all for the first time in their order, then all for the second
+            times[token] = times.get(token, 0) + 1
+            here = (times[token], t[0])
+            if t[2] and last.get(t[1], here) > here:
                 broken.add(t[1])
-            last[t[1]] = max(last.get(t[1], -1), t[0])
+            last[t[1]] = max(last.get(t[1], here), here)
+    texts = {token for token, t in template.items() if t[2] and t[1] not in broken}
+    return _article(events, template, texts) or (_article(events, template, set()) if texts else [])
+
+
+def _article(events: list[tuple[str, int, str, _Element]], template: dict[int, tuple[int, int, bool]], boilerplate: set[int]) -> list[str]:
+    """The blocks of the article, where `boilerplate` are the tokens of template text."""
     slots: list[dict] = []
     slot: dict | None = None
     words: list[str] = []
+    chars = linked = 0
+    own = False  # whether the block has text that is no template
 
     def ended() -> None:
+        nonlocal chars, linked, own
         if words and slot is not None and (text := " ".join(html_entities.unescape("".join(words)).split())):
-            slot["blocks"].append(text)
+            slot["any"] = True
+            if own:
+                slot["blocks"].append(text)
+                slot["chars"] += chars
+                slot["linked"] += linked
         words.clear()
+        chars, linked, own = 0, 0, False
 
     key = None
     for kind, token, data, element in events:
@@ -212,19 +231,18 @@ def _blocks(page: str, template: dict[int, tuple[int, int, bool]]) -> list[str]:
             if t is not None and data in BLOCK:
                 slot = None
             continue
-        if t is not None and t[2] and t[1] not in broken and not element.main:
-            continue
         where = (element.apart, element.main)
         if slot is None or where != key:
             ended()
             key = where
-            slots.append(slot := {"apart": element.apart, "main": element.main, "blocks": [], "chars": 0, "linked": 0})
+            slots.append(slot := {"apart": element.apart, "main": element.main, "any": False, "blocks": [], "chars": 0, "linked": 0})
         words.append(data)
+        own = own or token not in boilerplate
         size = len(data.strip())
-        slot["chars"] += size
-        slot["linked"] += size * element.link
+        chars += size
+        linked += size * element.link
     ended()
-    slots = [s for s in slots if not s["apart"] and s["blocks"]]
+    slots = [s for s in slots if not s["apart"] and s["any"]]
     if any(s["main"] for s in slots):
         slots = [s for s in slots if s["main"]]
     else:  # nothing says where the article is: slots of mostly links are menus

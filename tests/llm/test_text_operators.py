@@ -232,3 +232,17 @@ def test_template_text_is_boilerplate(spark):
     assert {r.text for r in got} == {f"Body of page {n} which is long enough." for n in range(15)}
     found = html_extract.templates(spark.createDataFrame([(n, "h", h) for n, _, h in rows], "page_id long, host string, html string")).collect()
     assert len(found) == 1 and sum(found[0]["is_text"]) == 1
+
+
+def extracted(spark, htmls):
+    """The texts of these pages, all of one host, in their order."""
+    got = html_extract.extract(spark.createDataFrame([(n, f"http://one.net/{n}", h) for n, h in enumerate(htmls)], "page_id long, url string, html string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.page_id)]
+
+
+def test_template_text_inside_the_article_is_boilerplate(spark):
+    """Blocks that repeat on all pages go, once or twice a page; a repeated word in a block of the page's own stays."""
+    bar = '<div class="x7"><p>Tell your friends</p></div>'
+    page = "<article><h1>Title {n}</h1>%s<p>Body {n} <b>by us</b></p>%s<div><h3>What others say</h3></div></article>" % (bar, bar)
+    assert extracted(spark, [page.format(n=n) for n in range(12)]) == [f"Title {n}\nBody {n} by us" for n in range(12)]
+    assert extracted(spark, ["<article><p>The same everywhere</p></article>" + f"<p>{n}</p>" for n in range(12)]) == ["The same everywhere"] * 12
