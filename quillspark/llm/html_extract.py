@@ -27,10 +27,8 @@ from quillspark.llm.common import small_batches, written
 
 #: Share of a host's pages in which a class must hold.
 SUPPORT = 0.5
-#: For text nodes to be boilerplate: share of the host's pages that hold them, and least pages of the host.
-TEXT_SUPPORT, TEXT_PAGES = 0.9, 10
-#: Text nodes of more characters are never tokens: they are what is to be extracted.
-TOKEN_CHARS = 200
+#: For text nodes to be boilerplate: share of the host's pages that hold them.
+TEXT_SUPPORT = 0.9
 #: Template tokens of all hosts up to which they are broadcast; beyond that the join shuffles.
 BROADCAST_TOKENS = 1_000_000
 
@@ -103,7 +101,7 @@ def parsed(page: str) -> Iterator[tuple[str, int, str, _Element]]:
         if end > at:
             text = page[at:end]
             if not text.isspace():
-                yield "text", (_hash(text.strip(), stack[-1].path) if len(text) <= TOKEN_CHARS else 0), text, stack[-1]
+                yield "text", _hash(text.strip(), stack[-1].path), text, stack[-1]
         if not m:
             return
         at = max(m.end(), end + 1)
@@ -170,7 +168,7 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     wide = F.col("fingerprint").cast("decimal(20,0)")
     tokens = part.groupBy("host", "token").agg(F.first("is_text").alias("is_text"), F.sum("pages").alias("pages"), F.pmod(F.sum(wide), F.lit(str(2**64)).cast("decimal(21,0)")).alias("fingerprint"), (F.sum("place") / F.sum("pages")).alias("place"))
     kept = tokens.join(of_host, "host").filter((F.col("n") >= 2) & (F.col("pages") >= F.col("n") * support))
-    kept = kept.filter(~F.col("is_text") | ((F.col("pages") >= F.col("n") * TEXT_SUPPORT) & (F.col("n") >= TEXT_PAGES)))
+    kept = kept.filter(~F.col("is_text") | (F.col("pages") >= F.col("n") * TEXT_SUPPORT))
     entry = F.struct("place", "token", "is_text")
     classes = kept.groupBy("host", "fingerprint").agg(F.sort_array(F.collect_list(entry)).alias("tokens")).filter((F.size("tokens") >= 2) & F.exists("tokens", lambda t: ~t["is_text"]))
     one = F.transform("tokens", lambda t: F.struct(t["place"].alias("place"), t["token"].alias("token"), t["is_text"].alias("is_text"), F.col("fingerprint").alias("class")))

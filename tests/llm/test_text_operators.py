@@ -246,3 +246,12 @@ def test_template_text_inside_the_article_is_boilerplate(spark):
     page = "<article><h1>Title {n}</h1>%s<p>Body {n} <b>by us</b></p>%s<div><h3>What others say</h3></div></article>" % (bar, bar)
     assert extracted(spark, [page.format(n=n) for n in range(12)]) == [f"Title {n}\nBody {n} by us" for n in range(12)]
     assert extracted(spark, ["<article><p>The same everywhere</p></article>" + f"<p>{n}</p>" for n in range(12)]) == ["The same everywhere"] * 12
+
+
+def test_template_text_of_small_hosts_and_of_any_length(spark):
+    notice = "<div><p>" + "We care about what you think of our terms. " * 20 + "</p></div>"
+    for pages in (2, 9):
+        assert extracted(spark, [f"<body><div><p>Posted in</p></div><div><p>Body of page {n}.</p></div>{notice}" for n in range(pages)]) == [f"Body of page {n}." for n in range(pages)]
+    assert extracted(spark, ["<body><div><p>One page</p><p>and a copy</p></div>"] * 2 + ["<p>other</p>"]) == ["One page\nand a copy"] * 2 + ["other"]
+    # copies of a page say nothing of the template, however many there are
+    assert extracted(spark, ["<body><div><p>Popular</p><p>Text</p></div>"] * 30 + ["<body><div><p>Rare</p></div>"]) == ["Popular\nText"] * 30 + ["Rare"]
