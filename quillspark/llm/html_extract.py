@@ -92,7 +92,7 @@ def _role(name: str, attributes: str, parent: _Element) -> tuple[bool, str]:
 
 
 def parsed(page: str) -> Iterator[tuple[str, int, str, _Element]]:
-    """(kind, token, data, element around it): kind 'open', 'close' or 'text'; token is its hash with its path. Text is raw."""
+    """(kind, token, data, element around it): kind 'open', 'close' or 'text'; token is its hash with its path, 0 for white space. Text is raw."""
     stack = [_Element("", 0, False, False, False)]
     at, n = 0, len(page)
     while at < n:
@@ -100,8 +100,7 @@ def parsed(page: str) -> Iterator[tuple[str, int, str, _Element]]:
         end = m.start() if m else n
         if end > at:
             text = page[at:end]
-            if not text.isspace():
-                yield "text", _hash(text.strip(), stack[-1].path), text, stack[-1]
+            yield "text", (0 if text.isspace() else _hash(text.strip(), stack[-1].path)), text, stack[-1]
         if not m:
             return
         at = max(m.end(), end + 1)
@@ -229,6 +228,9 @@ def _article(events: list[tuple[str, int, str, _Element]], template: dict[int, t
             if t is not None and data in BLOCK:
                 slot = None
             continue
+        if data.isspace():  # parts words, and is no text of any element
+            words.append(data)
+            continue
         where = (element.apart, element.main)
         if slot is None or where != key:
             ended()

@@ -255,3 +255,8 @@ def test_template_text_of_small_hosts_and_of_any_length(spark):
     assert extracted(spark, ["<body><div><p>One page</p><p>and a copy</p></div>"] * 2 + ["<p>other</p>"]) == ["One page\nand a copy"] * 2 + ["other"]
     # copies of a page say nothing of the template, however many there are
     assert extracted(spark, ["<body><div><p>Popular</p><p>Text</p></div>"] * 30 + ["<body><div><p>Rare</p></div>"]) == ["Popular\nText"] * 30 + ["Rare"]
+
+
+def test_white_space_between_inline_elements_parts_words():
+    page = "<article> <p> <b>foo</b> <i>bar</i>\n<a>one</a>\t<a>two</a><a>three</a> </p> <p>x</p> </article> <div> <em>apart</em> </div>"
+    assert html_extract._blocks(page, {}) == ["foo bar one twothree", "x"]
