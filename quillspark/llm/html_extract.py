@@ -16,6 +16,7 @@ from __future__ import annotations
 import html as html_entities
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,6 +38,8 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|type)\s*(?:=\s*(?
 
 # HTML's elements by what they mean here.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "audio", "video", "title", "select"}
+#: Of RAW, those that are empty when self-closed, and those whose contents are never text: they go on to the page's end if nothing closes them.
+FOREIGN, CODE = {"svg", "math"}, {"script", "style"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
@@ -91,9 +94,32 @@ def _role(name: str, attributes: str, parent: _Element) -> tuple[bool, str]:
     return apart, label
 
 
+@lru_cache(maxsize=None)
+def _same_tags(name: str) -> re.Pattern:
+    """Comments, code, and the tags of one element of RAW."""
+    code = "" if name in CODE else r"|<(?:script|style)\b.*?</(?:script|style)\b[^>]*(?:>|\Z)"
+    return re.compile(rf"""<!--.*?(?:-->|\Z){code}|<(/?){name}(?=[\s/>]|\Z)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.DOTALL | re.IGNORECASE)
+
+
+def _closed(page: str, name: str) -> dict[int, int]:
+    """Of each element of this name in a page that is closed, where its tag starts and its closing tag ends; those inside one another are matched."""
+    found: dict[int, int] = {}
+    opened: list[int] = []
+    for m in _same_tags(name).finditer(page):
+        if m[2] is None:
+            continue
+        if not m[1]:
+            if not (name in FOREIGN and m[2].endswith("/")):
+                opened.append(m.start())
+        elif opened:
+            found[opened.pop()] = m.end()
+    return found
+
+
 def parsed(page: str) -> Iterator[tuple[str, int, str, _Element]]:
     """(kind, token, data, element around it): kind 'open', 'close' or 'text'; token is its hash with its path, 0 for white space. Text is raw."""
     stack = [_Element("", 0, False, False, False)]
+    closed: dict[str, dict[int, int]] = {}
     at, n = 0, len(page)
     while at < n:
         m = TAG.search(page, at)
@@ -127,8 +153,13 @@ def parsed(page: str) -> Iterator[tuple[str, int, str, _Element]]:
         path = _hash(f"{name} {label}", top.path)
         yield "open", path, name, top
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
-            at = close.end() if close else n
+            if name in CODE:
+                close = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
+                at = close.end() if close else n
+            elif not (name in FOREIGN and m[3].endswith("/")):
+                if name not in closed:
+                    closed[name] = _closed(page, name)
+                at = closed[name].get(end, at)  # an element that nothing closes is its tag alone
         elif name not in VOID and not m[3].endswith("/"):
             stack.append(_Element(name, path, apart, top.main or name in MAIN, top.link or name == "a"))
 

@@ -260,3 +260,14 @@ def test_template_text_of_small_hosts_and_of_any_length(spark):
 def test_white_space_between_inline_elements_parts_words():
     page = "<article> <p> <b>foo</b> <i>bar</i>\n<a>one</a>\t<a>two</a><a>three</a> </p> <p>x</p> </article> <div> <em>apart</em> </div>"
     assert html_extract._blocks(page, {}) == ["foo bar one twothree", "x"]
+
+
+def test_self_closed_and_unclosed_elements_lose_no_text():
+    def blocks(x):
+        return html_extract._blocks(f"<article><p>a</p>{x}<p>b</p></article>", {})
+
+    for x in ('<svg width="1"/>', "<math/>", "<object data='x'>", "<video src=v>", "<select>", "<iframe src='x'/>", "<svg><svg/><text>t</text></svg>", "<object>t<object>u</object>v</object>", "<!-- <video> --><video>t</video>", "<script>'<video>'</script><VIDEO>t</Video >"):
+        assert blocks(x) == ["a", "b"], x
+    assert blocks("<video><p>c</p><video>t</video>") == ["a", "c", "b"]
+    assert blocks("<svg/><p>c</p><svg>t</svg>") == ["a", "c", "b"]
+    assert blocks("<script>var x") == blocks("<style>p {") == ["a"]
