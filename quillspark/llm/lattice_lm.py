@@ -12,6 +12,7 @@ handed to every scorer and settle most tokens in place; the other tokens meet th
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,10 +32,12 @@ ALPHA = 0.1
 FOLDS = 10
 #: Most words whose counts are handed to every scorer.
 FREQUENT = 1 << 18
-#: Words of more characters are scored in parts of so many: a bound of a lattice's size.
-PART = 64
+#: Words of more characters go through their lattices one by one, others many of a length at once. Results are the same.
+LONG = 64
 #: Words that go through their lattices at once.
 TOGETHER = 20_000
+#: Positions of a long word whose arcs are held at once.
+STRETCH = 8192
 #: Share of the weights that goes to the ranks' power law after the expectation step.
 PRIOR = 0.01
 #: Starting shares of the byte pieces and of the end piece.
@@ -85,10 +88,8 @@ def _prefixes(path: str) -> tuple[np.ndarray, np.ndarray, int]:
     return keys, np.array([numbers[int(k)] for k in keys], np.int64), max(map(len, names))
 
 
-def _parts(word: str) -> list[str]:
-    """What lattices are built on: the word after a space mark, cut where it is too long for one lattice."""
-    marked = SPACE + word
-    return [marked[i : i + PART] for i in range(0, len(marked), PART)]
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class Lattice:
@@ -133,23 +134,92 @@ class Lattice:
         return alpha, arcs
 
     def _by_length(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Parts of equal length: the word that each is of, code points."""
-        by: dict[int, tuple[list[int], list[str]]] = {}
+        """Words of equal length after a space mark, but long ones: their numbers, code points."""
+        by: dict[int, list[int]] = {}
         for n, w in enumerate(words):
-            for p in _parts(w):
-                who, texts = by.setdefault(len(p), ([], []))
-                who.append(n)
-                texts.append(p)
-        for length, (who, texts) in by.items():
+            if len(w) < LONG:
+                by.setdefault(len(w) + 1, []).append(n)
+        for length, who in by.items():
             for i in range(0, len(who), TOGETHER):
-                some = texts[i : i + TOGETHER]
-                yield np.array(who[i : i + TOGETHER]), np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), length)
+                some = who[i : i + TOGETHER]
+                yield np.array(some), _codes([SPACE + words[n] for n in some]).reshape(len(some), length)
+
+    def _stretch(self, codes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end, piece number (bytes: less than 0) and log weight of the arcs from STRETCH positions of one word, by start."""
+        at = np.arange(start, min(start + STRETCH, len(codes)))
+        h = np.zeros(len(at), np.uint64)
+        found = []
+        for size in range(1, self.longest + 1):
+            c = codes[at + size - 1]
+            h = h * _BASE + c.astype(np.uint64) + np.uint64(1)
+            k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            alive = self.keys[k] == h
+            number = np.where(alive, self.numbers[k], -1)
+            if size == 1:  # what is no piece is spelled in bytes
+                bytes_ = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+                found.append((at, at + 1, np.where(number < 0, -bytes_, number), np.where(number < 0, bytes_ * self.log_byte, self.log[number])))
+            else:
+                hit = number >= 0
+                found.append((at[hit], at[hit] + size, number[hit], self.log[number[hit]]))
+            alive &= at + size < len(codes)
+            at, h = at[alive], h[alive]
+            if not len(at):
+                break
+        i, j, number, weight = map(np.concatenate, zip(*found, strict=True))
+        order = np.argsort(i, kind="stable")
+        return i[order], j[order], number[order], weight[order]
+
+    def _long_forward(self, codes: np.ndarray, keep: np.ndarray | None = None) -> float:
+        """The log weight of all segmentations of one word. keep: gets that up to each position; else only the last `longest` are held."""
+        ring = self.longest + 1
+        into: list[list[float]] = [[] for _ in range(ring)]
+        into[0].append(0.0)
+        done, here = -1, 0.0
+        for start in range(0, len(codes), STRETCH):
+            i, j, _, weight = self._stretch(codes, start)
+            for a, b, w in zip(i.tolist(), j.tolist(), weight.tolist(), strict=True):
+                if a != done:
+                    here, done = _log_sum(into[a % ring]), a
+                    into[a % ring] = []
+                    if keep is not None:
+                        keep[a] = here
+                into[b % ring].append(here + w)
+        total = _log_sum(into[len(codes) % ring])
+        if keep is not None:
+            keep[len(codes)] = total
+        return total
+
+    def _long_expected(self, word: str, times: float, out: np.ndarray) -> None:
+        """Adds to out what expected() says of one word, the arcs made again stretch by stretch from its end."""
+        codes = _codes([SPACE + word])
+        alpha = np.empty(len(codes) + 1)
+        total = self._long_forward(codes, alpha)
+        beta = np.empty(len(codes) + 1)
+        beta[-1] = 0
+        for start in reversed(range(0, len(codes), STRETCH)):
+            i, j, number, weight = self._stretch(codes, start)
+            stop = min(start + STRETCH, len(codes))
+            after = beta[stop : stop + self.longest + 1].tolist()
+            known = [0.0] * (stop - start) + after
+            ways: list[float] = []
+            starts, ends, weights = i.tolist(), j.tolist(), weight.tolist()
+            for n in range(len(starts) - 1, -1, -1):
+                ways.append(weights[n] + known[ends[n] - start])
+                if not n or starts[n - 1] != starts[n]:
+                    known[starts[n] - start] = _log_sum(ways)
+                    ways = []
+            beta[start:stop] = known[: stop - start]
+            share = times * np.exp(alpha[i] + weight + beta[j] - total)
+            out += np.bincount(np.where(number < 0, BYTE, number), share * np.where(number < 0, -number, 1), len(out))
 
     def log10(self, words: list[str]) -> np.ndarray:
         """Of each word, the log10 of the sum of all its segmentations' weights."""
         out = np.zeros(len(words))
         for who, codes in self._by_length(words):
-            out += np.bincount(who, self._forward(codes)[0][-1], len(words))
+            out[who] = self._forward(codes)[0][-1]
+        for n, w in enumerate(words):
+            if len(w) >= LONG:
+                out[n] = self._long_forward(_codes([SPACE + w]))
         return out / np.log(10)
 
     def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
@@ -164,9 +234,19 @@ class Lattice:
             for i, j, at, number, weight in arcs:
                 share = times[who[at]] * np.exp(alpha[i, at] + weight + beta[j, at] - alpha[-1, at])
                 out += np.bincount(np.where(number < 0, BYTE, number), share * np.where(number < 0, -number, 1), len(out))
+        for n, w in enumerate(words):
+            if len(w) >= LONG:
+                self._long_expected(w, times[n], out)
         return out
 
 
+def _log_sum(x: list[float]) -> float:
+    if len(x) == 1:
+        return x[0]
+    most = max(x)
+    return most + math.log(sum([math.exp(a - most) for a in x]))
+
+
 def _words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 

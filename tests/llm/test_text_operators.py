@@ -271,3 +271,34 @@ def test_self_closed_and_unclosed_elements_lose_no_text():
     assert blocks("<video><p>c</p><video>t</video>") == ["a", "c", "b"]
     assert blocks("<svg/><p>c</p><svg>t</svg>") == ["a", "c", "b"]
     assert blocks("<script>var x") == blocks("<style>p {") == ["a"]
+
+
+def test_long_words_have_one_lattice(monkeypatch):
+    """Words beyond LONG, and beyond a stretch, sum over all their segmentations, as short ones do."""
+    path = lattice_lm.default_vocabulary()
+    names, start = lattice_lm.pieces(path)
+    number = {x: i for i, x in enumerate(names, lattice_lm.FIRST)}
+    longest = max(map(len, names))
+
+    def brute(text):
+        ways = [0.0] * len(text) + [1.0]
+        for i in range(len(text) - 1, -1, -1):
+            for j in range(i + 1, min(len(text), i + longest) + 1):
+                if text[i:j] in number:
+                    ways[i] += start[number[text[i:j]]] * ways[j]
+                elif j == i + 1:
+                    ways[i] += (start[lattice_lm.BYTE] / 256) ** len(text[i].encode()) * ways[j]
+        return ways[0]
+
+    lattice = lattice_lm.Lattice(path)
+    words = ["information" * 6, "the" * 21, "the" * 21 + "t", "https://example.com/" + "a1B2" * 12, "今天天气很好" + "the" * 20]
+    assert np.allclose(lattice.log10(words), [math.log10(brute("▁" + w)) for w in words], rtol=1e-10)
+    whole, some = lattice.log10(["information" * 500]), lattice.expected(["information" * 500], np.array([2.0]))
+    monkeypatch.setattr(lattice_lm, "STRETCH", 100)
+    assert np.allclose(lattice.log10(["information" * 500]), whole) and np.allclose(lattice.expected(["information" * 500], np.array([2.0])), some)
+    assert abs(sum(len(n) * some[number[n]] for n in names) - 2 * 5501) < 1e-3
+    # what one lattice says of words of any length: one by one is as many at once
+    short = ["the", "thinktion", "x😀y", "été"]
+    want, counts = lattice.log10(short), lattice.expected(short, np.arange(1.0, 5.0))
+    monkeypatch.setattr(lattice_lm, "LONG", 0)
+    assert np.allclose(lattice.log10(short), want) and np.allclose(lattice.expected(short, np.arange(1.0, 5.0)), counts)
