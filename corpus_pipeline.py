@@ -26,7 +26,7 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of similar documents the one with the smallest doc_id stays. Rows with a null doc_id stay."""
-    found = ngram_join.similar(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = ngram_join.similar(docs, count_links=False).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = written(found, "pipeline-gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(COLUMNS)

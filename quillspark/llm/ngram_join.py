@@ -15,6 +15,9 @@ Candidates that sizes and small sketches of the sets can't rule out are verified
 components, so each set's pair with its smallest partner goes first, and other pairs are verified only if their ends are not
 yet in one component. A bucket with many sets sends its members; a forest of hopeful pairs connects them, and other pairs
 follow only where that fails.
+
+Links are all inside components, so they are counted there: every set of a component meets every other in one tile, where
+an index of shingles gives all intersections exactly. Counts per set are sent, not pairs.
 """
 
 from __future__ import annotations
@@ -41,6 +44,10 @@ SMALL = 8
 SKETCH = 1024
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
+#: Sets of a component that are compared in one block, and bytes of their shingles: about so many on average.
+LINK_BLOCK, LINK_BYTES = 512, 8 << 20
+#: Entries of an index of shingles that are looked up at once.
+POSTINGS = 1 << 20
 
 INDEX, PROBE, PROBE_CUTS, CUT_INDEX, CUT_PROBE = 1, 2, 4, 8, 16
 
@@ -457,13 +464,78 @@ def _verified(pairs: DataFrame, whole: DataFrame, num: int, den: int) -> DataFra
     return both.select("a", "b", "left", "right").mapInPandas(compared, "a long, b long")
 
 
-def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document (columns doc_id, text).
+def linked_with(sets: list[np.ndarray], block: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Of each set (sorted distinct shingles) the number of others that it links with: of all, or if there are two blocks, of the other block."""
+    size = np.array([len(x) for x in sets])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), size)
+    two = bool((block != block[0]).any())
+    probing = np.flatnonzero(block == block[0])
+    indexed = block[owner] != block[0] if two else np.ones(len(owner), bool)
+    order = np.flatnonzero(indexed)[np.argsort(token[indexed], kind="stable")]
+    postings = owner[order]
+    edge = np.searchsorted(token[order], np.arange(token.max() + 2))
+    at = np.r_[0, np.cumsum(size)]
+    out = np.zeros(len(sets), np.int64)
+    for i in probing:
+        mine = token[at[i] : at[i + 1]]
+        first, count = edge[mine], edge[mine + 1] - edge[mine]
+        both = np.zeros(len(sets), np.int64)
+        part = np.cumsum(count) // POSTINGS
+        for n in range(part[-1] + 1) if part[-1] else [None]:
+            f, c = (first, count) if n is None else (first[part == n], count[part == n])
+            places = np.repeat(f - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(c.sum()) if len(c) else np.empty(0, np.int64)
+            both += np.bincount(postings[places], minlength=len(sets))
+        link = (both > 0) & (den * both >= num * (size[i] + size - both))
+        link[i] = False
+        out[i] += np.count_nonzero(link)
+        if two:
+            out += link
+    return out
+
+
+def _link_counts(roots: DataFrame, whole: DataFrame, num: int, den: int) -> DataFrame:
+    """set, n_links (other sets that it links with) of the sets that are in components. whole: set, shingles."""
+    members = roots.select(F.col("node").alias("set"), "root").join(whole, "set")
+    blocks = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / LINK_BLOCK), F.ceil(F.sum(F.length("shingles")) / LINK_BYTES)).cast("int").alias("blocks"))
+    dealt = members.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
+    tile = ["root", "lo", "hi"]
+    tiles = dealt.select("root", "set", "shingles", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "set", "block", "shingles")
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+
+        def compared(t: pd.DataFrame) -> pd.DataFrame:
+            block = t["block"].to_numpy()
+            if t["lo"].iloc[0] != t["hi"].iloc[0] and (block == block[0]).all():
+                n = np.zeros(len(t), np.int64)  # nothing is dealt to the other block
+            else:
+                n = linked_with([np.frombuffer(x, np.uint64) for x in t["shingles"]], block, num, den)
+            return pd.DataFrame({"set": t["set"].to_numpy(), "n": n})
+
+        for b in batches:
+            t = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            names = t[tile].to_numpy()
+            starts = np.r_[0, np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1]
+            out = [compared(t.iloc[i:j]) for i, j in zip(starts[:-1], starts[1:], strict=True)]
+            rest = t.iloc[starts[-1] :]
+            if out:
+                yield pd.concat(out)
+        if rest is not None and len(rest):
+            yield compared(rest)
+
+    dealt_out = tiles.repartition(*tile).sortWithinPartitions(*tile, "set").mapInPandas(counted, "set long, n long")
+    return dealt_out.groupBy("set").agg(F.sum("n").alias("n_links"))
+
+
+def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every document (columns doc_id, text).
 
     A document's set: the distinct shingles of `words` words of its whole text (fewer words: the whole sequence; none: empty).
     Sets link when den * intersection >= num * union; empty sets link with nothing. component_id is the smallest doc_id that
     links reach, the document's own included. Null texts are empty. Rows with a null doc_id have a row and hand links on, but
-    give no id: component_id is null where no reachable row has one. Other columns are ignored.
+    give no id: component_id is null where no reachable row has one. Other columns are ignored. n_links is the number of
+    other sets that a document's set links with, copies being one set; without count_links the column is left out.
     Shingles and sets are compared by 64-bit hashes.
     """
     small_batches(docs.sparkSession)
@@ -544,4 +616,10 @@ def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN)
     of_root = least.groupBy("root").agg(F.min("first").alias("component_id"))
     names = least.join(of_root, "root").select("set", "component_id")
     out = known.join(names, "set", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    columns = ["doc_id", "n_shingles", F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if not count_links:
+        return out.select(*columns)
+    whole = written(_whole(docs, known, roots.select(F.col("node").alias("set")), words), "join-whole")
+    counts = written(_link_counts(roots, whole, num, den), "join-counts")
+    discard(whole)
+    return out.join(counts, "set", "left").select(*columns, F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))

@@ -256,3 +256,38 @@ def test_forests_connect_what_all_hopeful_pairs_connect():
 
         few, many = (f(root, size, ids, bits, 80, 100) for f in (ngram_join._spanning, ngram_join._every))
         assert joined(few) == joined(many) and len(few[0]) < len(ids)
+
+
+def brute_links(rows):
+    """Of each row the number of other sets that its set links with."""
+    sets = [frozenset(shingle_set(t)) for _, t in rows]
+    unique = {x for x in sets if x}
+    links = {x: sum(x != y and 100 * len(x & y) >= 80 * len(x | y) for y in unique) for x in unique}
+    return [(d, links.get(x, 0)) for (d, _), x in zip(rows, sets, strict=True)]
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_links_are_all_counted(spark, monkeypatch, block):
+    """Every link between different texts, inside groups of near copies too, however the groups are dealt."""
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    r, rows = random.Random(3), corpus(3, 12)
+    base = [f"b{i}" for i in range(120)]
+    for n in range(30):
+        t = list(base)
+        t[r.randrange(len(t))] = f"x{n}"
+        t[r.randrange(len(t))] = f"y{n}"
+        rows += [(1000 + 2 * n, " ".join(t)), (1001 + 2 * n, " ".join(t).upper())]
+    df = spark.createDataFrame([(d, t, "s", 1, "k") for d, t in rows], DOCS)
+    assert sorted((x.doc_id, x.n_links) for x in ngram_join.similar(df).collect()) == sorted(brute_links(rows))
+
+
+def test_link_counts_in_parts(monkeypatch):
+    r = np.random.default_rng(0)
+    sets = [np.unique(r.choice(40, 36).astype(np.uint64)) for _ in range(30)]
+    inside = np.zeros(30, np.int64)
+    across = np.arange(30) % 2
+    link = np.array([[i != j and 100 * len(np.intersect1d(x, y)) >= 60 * len(np.union1d(x, y)) for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+    for postings in (1 << 20, 50):
+        monkeypatch.setattr(ngram_join, "POSTINGS", postings)
+        assert (ngram_join.linked_with(sets, inside, 60, 100) == link.sum(axis=1)).all()
+        assert (ngram_join.linked_with(sets, across, 60, 100) == (link & (across[:, None] != across)).sum(axis=1)).all()
