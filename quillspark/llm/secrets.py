@@ -10,6 +10,8 @@ Positions come from two views of the same matches: regexp_extract_all gives them
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,41 +34,62 @@ SCOPE = 200
 SPAN = "array<struct<s:bigint,e:bigint>>"
 
 
-def located(text: Column, pattern: str, least: int = 0, group: int = 0) -> Column:
-    """Spans of the leftmost non-overlapping matches whose group has `least` code points; [] where there is none."""
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Of an array the fold of each entry with all before it by an associative step.
+
+    Round k folds every entry with the one 2**k before it, so an array of n entries takes log2(n) passes: a fold that grows
+    an array by one entry at a time would copy it n times.
+    """
+
+    def all_rounds(x: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(x), F.lit(1)))).cast("int"))
+
+        def folded(acc: Column, k: Column) -> Column:
+            back = F.call_function("shiftleft", F.lit(1), k)
+            return F.transform(acc, lambda v, i: F.when(i >= back, step(F.get(acc, i - back), v)).otherwise(v))
+
+        return F.aggregate(rounds, x, folded)
+
+    return _let(values, all_rounds)
+
+
+def located(text: Column, pattern: str, counts: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
+    """Spans of the leftmost non-overlapping matches, [] where there is none; `counts` says of a group's text whether its match counts."""
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m).cast("bigint"))
-    part = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)) if group else whole
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("bigint"))
-    zipped = F.zip_with(F.slice(gaps, F.lit(1), F.size(whole)), F.zip_with(whole, part, lambda w, p: F.struct(w.alias("w"), p.alias("p"))), lambda g, m: F.struct(g.alias("g"), m["w"].alias("w"), m["p"].alias("p")))
-    empty = F.array().cast(SPAN)
-
-    def step(acc: Column, m: Column) -> Column:
-        start, end = acc["at"] + m["g"], acc["at"] + m["g"] + m["w"]
-        one = F.array(F.struct(start.alias("s"), end.alias("e")))
-        return F.struct(end.alias("at"), F.when(m["p"] >= least, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    if counts is None:
+        sized = F.transform(whole, lambda w: F.struct(w.alias("w"), F.lit(True).alias("ok")))
+    else:
+        sized = F.zip_with(whole, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda w, m: F.struct(w.alias("w"), counts(m).alias("ok")))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.regexp(text, F.lit(pattern)), found).otherwise(empty)
+    def spans(found: Column) -> Column:
+        ends = running(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: g + m["w"]), lambda a, b: a + b)
+        all_spans = F.zip_with(ends, found, lambda e, m: F.struct((e - m["w"]).alias("s"), e.alias("e"), m["ok"].alias("ok")))
+        return F.transform(F.filter(all_spans, lambda x: x["ok"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
+    return F.when(F.regexp(text, F.lit(pattern)), _let(sized, spans)).otherwise(F.array().cast(SPAN))
 
-def _near(a: Column, b: Column, scope: int) -> Column:
-    return (a["s"] <= b["e"] + scope) & (b["s"] <= a["e"] + scope)
 
+def beside(spans: Column, others: list[Column], reach: int, wanted: bool = True) -> Column:
+    """The spans that have one of `others` within `reach` code points of them, or with wanted=False those that have none; reach -1 is overlap.
 
-def _any_near(span: Column, others: list[Column], scope: int) -> Column:
-    tests = [F.exists(x, lambda o: _near(span, o, scope)) for x in others]
-    out = tests[0]
-    for t in tests[1:]:
-        out = out | t
-    return out
+    An interval join of sorted sides: spans by where their reach ends are merged with others by where they begin. Some other
+    span is in reach if the furthest end of all that begin before the reach ends isn't before where the reach begins.
+    """
+    marks = F.transform(F.concat(*others), lambda o: F.struct(o["s"].alias("at"), F.lit(0).alias("kind"), o["s"].alias("s"), o["e"].alias("e"), o["e"].alias("furthest")))
+    probes = F.transform(spans, lambda x: F.struct((x["e"] + reach).alias("at"), F.lit(1).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.lit(-(1 << 40)).cast("bigint").alias("furthest")))
 
+    def met(events: Column) -> Column:
+        furthest = running(F.transform(events, lambda v: v["furthest"]), lambda a, b: F.greatest(a, b))
+        seen = F.zip_with(events, furthest, lambda v, f: F.struct(v["kind"].alias("kind"), v["s"].alias("s"), v["e"].alias("e"), (f >= v["s"] - reach).alias("near")))
+        return F.transform(F.filter(seen, lambda v: (v["kind"] == 1) & (v["near"] == F.lit(wanted))), lambda v: F.struct(v["s"].alias("s"), v["e"].alias("e")))
 
-def _apart(span: Column, others: list[Column]) -> Column:
-    """Overlaps none of others."""
-    out = F.lit(True)
-    for x in others:
-        out = out & ~F.exists(x, lambda o: (span["s"] < o["e"]) & (o["s"] < span["e"]))
-    return out
+    return F.when(F.size(spans) > 0, _let(F.sort_array(F.concat(marks, probes)), met)).otherwise(F.array().cast(SPAN))
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
@@ -74,22 +97,25 @@ def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:
 
     A weak candidate is kept only beside complementary parts within `scope` code points: an account beside a secret (assign,
     hex or opaque); an opaque string beside an identifier (access or account); an endpoint beside an identifier and a
-    secret. A weak candidate over a base span is that span's, and is dropped. Null and empty texts have no spans. Other
-    columns pass through; a column that has a kind's name is overwritten.
+    secret. A weak candidate over a base span is that span's, and is dropped. Null and empty texts have no spans; repeated
+    rows are scanned each; time grows as n log n with the matches of a text. Other columns pass through; a column that has a
+    kind's name is overwritten.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({"assign": located(t, ASSIGN, ASSIGN_LEAST, 2), "access": located(t, ACCESS), "hex": located(t, HEX), "_account": located(t, ACCOUNT), "_endpoint": located(t, ENDPOINT)})
+    long_enough = lambda m: F.length(m) >= ASSIGN_LEAST
+    out = docs.withColumns({"assign": located(t, ASSIGN, long_enough, 2), "access": located(t, ACCESS), "hex": located(t, HEX), "_account": located(t, ACCOUNT), "_endpoint": located(t, ENDPOINT)})
     base = [F.col(k) for k in BASE]
     # an opaque string matters beside an identifier only, so texts without one need no search for it
     ids = (F.size("access") > 0) | (F.size("_account") > 0)
-    mixed = F.filter(located(t, OPAQUE), lambda x: F.regexp(F.substring(t, (x["s"] + 1).cast("int"), (x["e"] - x["s"]).cast("int")), F.lit("(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])")))
-    out = out.withColumn("_opaque", F.when(ids, F.filter(mixed, lambda x: _apart(x, [*base, F.col("_endpoint")]))).otherwise(F.array().cast(SPAN)))
-    account, opaque, endpoint = F.col("_account"), F.col("_opaque"), F.col("_endpoint")
-    secrets, identifiers = [F.col("assign"), F.col("hex"), opaque], [F.col("access"), account]
+    mixed = located(t, OPAQUE, lambda m: F.regexp(m, F.lit("[0-9]")) & F.regexp(m, F.lit("[A-Z]")) & F.regexp(m, F.lit("[a-z]")))
+    out = out.withColumn("_opaque", F.when(ids, mixed).otherwise(F.array().cast(SPAN)))
+    out = out.withColumn("_opaque", beside(F.col("_opaque"), [*base, F.col("_endpoint")], -1, False))
+    opaque = F.col("_opaque")
+    secrets, identifiers = [F.col("assign"), F.col("hex"), opaque], [F.col("access"), F.col("_account")]
     linked = {
-        "account": F.filter(account, lambda x: _apart(x, base) & _any_near(x, secrets, scope)),
-        "opaque": F.filter(opaque, lambda x: _any_near(x, identifiers, scope)),
-        "endpoint": F.filter(endpoint, lambda x: _any_near(x, secrets, scope) & _any_near(x, identifiers, scope)),
+        "account": beside(beside(F.col("_account"), base, -1, False), secrets, scope),
+        "opaque": beside(opaque, identifiers, scope),
+        "endpoint": beside(beside(F.col("_endpoint"), secrets, scope), identifiers, scope),
     }
     return out.withColumns(linked).drop("_account", "_opaque", "_endpoint")
 
