@@ -2,10 +2,12 @@
 
 import collections
 import hashlib
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.llm import components, line_dedup, mixing, ngram_join
 
@@ -228,7 +230,44 @@ def test_mixing_edges(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     assert mixing.mix(df, weights={}).count() == 0
     high = mixing.rates(df, epochs=900.0).filter("source = 'a'").first()
-    assert abs(high["below"][-1] - 1) < 1e-9
+    assert abs(high["below"][-1] - 1) < 1e-9 and len(high["below"]) < 130
+    assert high["parts"] == -(-high["rate"] // mixing.PART_RATE)
+
+
+def brute_copies(doc, rate, seed="mix-1"):
+    """Copies of a document: for each part of its rate the inverse of the Poisson distribution, summed up term by term."""
+    parts = max(1, math.ceil(rate / mixing.PART_RATE))
+    total = 0
+    for p in range(parts):
+        name = seed + (f"/{p}" if p else "") + f":{doc}"
+        u = (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        term = below = math.exp(-rate / parts)
+        k = 0
+        while below < u:
+            k += 1
+            term *= rate / parts / k
+            below += term
+        total += k
+    return total
+
+
+def test_mixing_is_brute_force_at_all_rates(spark):
+    """Large rates are exactly Poisson too: mean and variance are the rate."""
+    rows = [(i, "t", "big" if i < 1500 else ("rare" if i < 1600 else "one"), 1, "k") for i in range(1601)]
+    df = spark.createDataFrame(rows, DOCS)
+    weights = {"big": 0.5, "rare": 0.4, "one": 0.1}
+    rate = {s: 100 * 1601 * w / n for (s, w), n in zip(weights.items(), (1500, 100, 1), strict=True)}
+    got = {r.doc_id: r.copies for r in mixing.mix(df, weights, epochs=100.0).filter("copy = 1").collect()}
+    assert got == {i: brute_copies(i, rate[s]) for i, _, s, _, _ in rows}
+    rare = np.array([got[i] for i in range(1500, 1600)])
+    assert abs(rare.mean() - rate["rare"]) < 4 * math.sqrt(rate["rare"] / 100) and 0.6 < rare.var() / rate["rare"] < 1.6
+
+
+def test_mixing_deals_out_rows_without_ids(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "a", i, "k") for i in range(400)], DOCS)
+    out = mixing.mix(df, epochs=5.0)
+    sizes = collections.Counter(r.p for r in out.select(F.spark_partition_id().alias("p")).collect())
+    assert len(sizes) > 1 and max(sizes.values()) < 0.6 * sum(sizes.values())
 
 
 def test_forests_connect_what_all_hopeful_pairs_connect():
