@@ -208,6 +208,75 @@ def test_bin_completion_beats_best_fit():
     assert sum(n for _, n in packing.bin_completion(hard, 100)) == 4
 
 
+def fewest_sequences(items, capacity):
+    """By trying every place of every item."""
+    items, best = sorted(items, reverse=True), [len(items)]
+
+    def go(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(bins)
+            return
+        for b in {b for b in bins if b + items[i] <= capacity}:
+            rest = list(bins)
+            rest.remove(b)
+            go(i + 1, [*rest, b + items[i]])
+        go(i + 1, [*bins, items[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_exhaustive():
+    r, better = np.random.default_rng(0), 0
+    for _ in range(250):
+        capacity = int(r.choice([20, 50, 100]))
+        items = [int(x) for x in r.integers(max(1, capacity // 8), capacity * 2 // 3, int(r.integers(3, 12)))]
+        counts = np.bincount(items, minlength=capacity + 1)
+        want = fewest_sequences(items, capacity)
+        assert sum(n for _, n in packing.bin_completion(counts, capacity)) == want, items
+        assert packing.lower_bound(counts, capacity) <= want
+        better += sum(n for _, n in packing.best_fit(counts, capacity)) > want
+    assert better > 3  # the search wins where best fit doesn't
+
+
+def test_bin_completion_beats_best_fit_on_many_pieces():
+    counts = np.bincount(np.random.default_rng(1).integers(300, 1100, 4000), minlength=2049)
+    assert sum(n for _, n in packing.bin_completion(counts)) < sum(n for _, n in packing.best_fit(counts, 2048))
+
+
+def test_fillings_are_all_undominated_ones():
+    r = np.random.default_rng(5)
+    for _ in range(40):
+        items = sorted((int(x) for x in r.integers(2, 30, 7)), reverse=True)
+        capacity = 40
+        counts = np.bincount(items, minlength=capacity + 1)
+        largest, rest = items[0], items[1:]
+        room = capacity - largest
+        subsets = {tuple(sorted((rest[i] for i in range(6) if m >> i & 1), reverse=True)) for m in range(64)}
+        got = [tuple(sorted(f[1:], reverse=True)) for f in packing.fillings(counts, capacity, 0, [10**6])]
+        assert len(got) == len(set(got)) and set(got) <= {x for x in subsets if sum(x) <= room}
+        # every subset that fits is dominated by a filling: its parts can be put into a filling's parts
+        for s in subsets:
+            if sum(s) <= room:
+                assert any(into(list(s), list(f)) for f in got), (items, s, got)
+
+
+def into(parts, room):
+    """Whether parts can be put into pieces of these sizes."""
+    if not parts:
+        return True
+    return any(room[i] >= parts[0] and into(parts[1:], [*room[:i], room[i] - parts[0], *room[i + 1 :]]) for i in range(len(room)))
+
+
+def test_lengths_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 7)
+    rows = [(i, "a b c" if i % 3 else "a b") for i in range(200)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), capacity=9).collect()
+    assert len(got) == 200 and check_places(got, 9) == packing.lower_bound(np.bincount([r.length for r in got], minlength=10), 9)
+
+
 def test_quality(spark):
     r = np.random.default_rng(0)
     words = [f"word{i}" for i in range(200)]
