@@ -6,15 +6,20 @@ H = (1 - t) / (1 + t) * (x + y) shingles. The larger set allots v = 0, 1 or 2 to
 pigeonhole principle some segment differs in at most v - 1 shingles. v = 1 looks up the segment's whole subset, v = 2 also its
 one-deletion neighbourhood, against which the smaller set's subset and neighbourhood are indexed. The allocation is by cost:
 empty segments and subsets that other sets of the same batch share are skipped first, then those with few shingles, and
-deletions are used only as far as needed, smallest neighbourhoods first. A set that can't reach the sum meets its whole band.
+deletions are used only as far as needed, smallest neighbourhoods first.
+
+A set whose shingles fall into few segments can't reach the sum: it is cut once more with another seed, and again until the
+sum is reached. If that of a larger set falls short by some, a partner that it hasn't met has few shingles outside its
+segments, so it fills few segments too: only such sets are indexed with the next seed, one in thousands each time.
 
 Signatures don't travel as rows: a mapper sorts those of a batch of documents into one binary block per bucket, and a bucket
 finds equal signatures by sorting arrays. Sets are known by a 64-bit digest, so exact copies are one set from the mapper on.
 
 Candidates that sizes and small sketches of the sets can't rule out are verified exactly on the whole sets. What is wanted is
 components, so each set's pair with its smallest partner goes first, and other pairs are verified only if their ends are not
-yet in one component. A bucket with many sets sends its members; a forest of hopeful pairs connects them, and other pairs
-follow only where that fails.
+yet in one component. A bucket with many sets sends its members, dealt into blocks; a forest of hopeful pairs connects those of
+a block, then one member stands for each component that a block has, and members of different blocks meet only in buckets
+that these steps leave in several components. Other pairs of a block follow where its forest fails.
 
 Links are all inside components, so they are counted there: every set of a component meets every other in one tile, where
 an index of shingles gives all intersections exactly. Counts per set are sent, not pairs.
@@ -45,7 +50,7 @@ SKETCH = 1024
 #: Members of a bucket that are compared in one block.
 BLOCK = 2048
 #: Sets of a component that are compared in one block, and bytes of their shingles: about so many on average.
-LINK_BLOCK, LINK_BYTES = 512, 8 << 20
+LINK_BLOCK, LINK_BYTES = 2048, 8 << 20
 #: Entries of an index of shingles that are looked up at once.
 POSTINGS = 1 << 20
 
@@ -135,6 +140,9 @@ class Bands:
         self.segments = np.where(few, -(-need * 3 // 4) + (need > 4), need + 4 + need // 25)
         self.cuts = np.where(few, self.segments, np.where(most <= 128, 8, 3))  # the first segments have their deletions indexed
         self.most = most
+        # what a set that falls short allots and its partner's shingles beside its segments are a pair's differences at most;
+        # so many segments its partner fills, less one where all are cut: then it allots 2 to one at least
+        self.crowded = need - 1 - few
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lo, sizes, side="right") - 1
@@ -155,7 +163,11 @@ def _ranks(group: np.ndarray, *keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def allotted(flat: np.ndarray, sizes: np.ndarray, bands: Bands, below: bool, shared: bool = True) -> dict:
+#: Seeds of the cuts. Few sets come to the second; none is thinkable that comes to the last.
+SEEDS = 64
+
+
+def allotted(flat: np.ndarray, sizes: np.ndarray, bands: Bands, below: bool, seed: int = 0) -> dict:
     """How sets (their shingles in one array) are cut and looked up in their own band, or in the one below."""
     own = bands.of(sizes)
     band = own - below
@@ -165,7 +177,12 @@ def allotted(flat: np.ndarray, sizes: np.ndarray, bands: Bands, below: bool, sha
     base = np.r_[0, np.cumsum(m)]
     doc = np.repeat(np.arange(len(sizes)), np.where(ok, sizes, 0))
     token = flat if ok.all() else flat[np.repeat(ok, sizes)]
-    at = base[doc] + ((token >> np.uint64(32)) * m[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+    dealt = token  # in rising order, so a segment's shingles stand together
+    if seed:
+        dealt = _mixed(token ^ np.uint64(seed * 0x9E3779B97F4A7C15 % 2**64))
+        order = np.lexsort((dealt, doc))
+        token, dealt = token[order], dealt[order]
+    at = base[doc] + ((dealt >> np.uint64(32)) * m[doc].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     count = np.bincount(at, minlength=base[-1])
     owner = np.repeat(np.arange(len(sizes)), m)
     segment = np.arange(base[-1]) - base[owner]
@@ -175,15 +192,14 @@ def allotted(flat: np.ndarray, sizes: np.ndarray, bands: Bands, below: bool, sha
     cuttable = np.flatnonzero((count > 1) & (segment < bands.cuts[band][owner]) & (short[owner] > 0))
     cut = np.zeros(len(count), bool)
     cut[cuttable[_ranks(owner[cuttable], count[cuttable]) < short[owner[cuttable]]]] = True
+    filled = np.bincount(owner[full], minlength=len(sizes))
     weak = short > np.bincount(owner[cuttable], minlength=len(sizes))
-    out = {"weak": weak, "band": band, "ok": ok}
-    if not shared:
-        return out
+    out = {"weak": weak, "crowded": ok & (filled <= bands.crowded[band]), "band": band, "ok": ok}
     scrambled = _mixed(token + np.uint64(1))
     total = np.r_[np.uint64(0), np.cumsum(scrambled)]
     end = np.cumsum(count)
     subset = total[end] - total[end - count]
-    salt = _mixed((band[owner].astype(np.uint64) << np.uint64(32)) + segment.astype(np.uint64) + np.uint64(7))
+    salt = _mixed((band[owner].astype(np.uint64) << np.uint64(32)) + segment.astype(np.uint64) + np.uint64(7) + np.uint64(seed << 26))
     exact = _mixed(subset + salt)
     _, back, often = np.unique(exact[full], return_inverse=True, return_counts=True)
     probe = np.zeros(len(count), bool)
@@ -195,15 +211,26 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, ids: np.ndarray, bands: Band
     """All signatures of some sets: hash, set id, flags."""
     parts = []
     for below in (False, True):
-        a = allotted(flat, sizes, bands, below)
-        flags = np.where(a["probe"], PROBE, 0) | np.where(a["cut"], PROBE | PROBE_CUTS, 0) | (0 if below else INDEX)
-        keep = a["full"][flags[a["full"]] > 0]
-        parts.append((a["exact"][keep], ids[a["owner"][keep]], flags[keep]))
-        wanted = a["cut"] if below else a["indexed_cut"]
-        t = np.flatnonzero(wanted[a["at"]])
-        s = a["at"][t]
-        less = _mixed(a["subset"][s] - a["scrambled"][t] + a["salt"][s])
-        parts.append((less, ids[a["owner"][s]], np.where(a["cut"][s], CUT_PROBE, 0) | (0 if below else CUT_INDEX)))
+        f, n, who = flat, sizes, ids
+        probing, indexing = np.ones(len(n), bool), np.full(len(n), not below)
+        for seed in range(SEEDS):
+            a = allotted(f, n, bands, below, seed=seed)
+            asks, has = probing[a["owner"]], indexing[a["owner"]]
+            flags = np.where(a["probe"] & asks, PROBE, 0) | np.where(a["cut"] & asks, PROBE | PROBE_CUTS, 0) | np.where(has, INDEX, 0)
+            keep = a["full"][flags[a["full"]] > 0]
+            parts.append((a["exact"][keep], who[a["owner"][keep]], flags[keep]))
+            asked, held = a["cut"] & asks, a["indexed_cut"] & has
+            t = np.flatnonzero((asked | held)[a["at"]])
+            s = a["at"][t]
+            less = _mixed(a["subset"][s] - a["scrambled"][t] + a["salt"][s])
+            parts.append((less, who[a["owner"][s]], np.where(asked[s], CUT_PROBE, 0) | np.where(held[s], CUT_INDEX, 0)))
+            probing, indexing = probing & a["weak"], indexing & a["crowded"]
+            more = probing | indexing
+            if not more.any():
+                break
+            f, n, who, probing, indexing = f[np.repeat(more, n)], n[more], who[more], probing[more], indexing[more]
+        else:
+            raise ValueError("a set's shingles fall into few segments whatever the seed")
     return tuple(np.concatenate([p[i] for p in parts]).astype(kind) for i, kind in enumerate((np.uint64, np.uint64, np.uint8)))
 
 
@@ -329,18 +356,16 @@ def _candidates(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
     return sent.repartitionById(buckets, F.col("bucket")).mapInPandas(meet, "kind int, a long, b long, n int")
 
 
-def _known(docs: DataFrame, words: int, bands: Bands) -> DataFrame:
-    """Each document's set: doc_id, n_shingles, set (its digest, null if empty), band, weak (can't be looked up by signatures in its own band or the one below), sketch."""
+def _known(docs: DataFrame, words: int) -> DataFrame:
+    """Each document's set: doc_id, n_shingles, set (its digest, null if empty), sketch."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, sets in _sets(batches, words):
             sizes = np.array([len(s) for s in sets])
-            flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-            weak = [allotted(flat, sizes, bands, below, False)["weak"] for below in (False, True)]
             digest = pd.array([None if not len(s) else int(_signed(np.uint64(_digest(s)))) for s in sets], dtype="Int64")
-            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_shingles": sizes.astype(np.int64), "set": digest, "band": bands.of(np.maximum(sizes, 1)).astype(np.int32), "weak": weak[0] | weak[1], "sketch": [sketch(s) for s in sets]})
+            yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_shingles": sizes.astype(np.int64), "set": digest, "sketch": [sketch(s) for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set long, band int, weak boolean, sketch binary")
+    return docs.select("doc_id", "text").mapInPandas(rows, "doc_id long, n_shingles long, set long, sketch binary")
 
 
 def _whole(docs: DataFrame, known: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -414,13 +439,17 @@ def _every(root: np.ndarray, size: np.ndarray, ids: np.ndarray, bits: np.ndarray
     return left, right
 
 
-def _across(members: DataFrame, num: int, den: int, every: bool) -> DataFrame:
+def _across(members: DataFrame, num: int, den: int, every: bool, inside: bool = False) -> DataFrame:
     """Pairs (key, a, b) of members (key, set, root, size, sketch) of one key and different roots that sizes and sketches don't rule out: every one, or as many as connect them.
 
-    A key's members are dealt into blocks, and a task compares two blocks: no pair becomes a row unless it is asked for.
+    A key's members are dealt into blocks, and a task compares two blocks, or with `inside` the members of one: no pair
+    becomes a row unless it is asked for.
     """
     number = members.groupBy("key").agg((F.count("*") / BLOCK).cast("int").alias("more")).filter("more > 0")
-    if number.isEmpty():
+    if inside:
+        dealt = members.join(number, "key", "left").withColumn("lo", F.pmod(F.xxhash64("set"), F.coalesce("more", F.lit(0)) + 1).cast("int"))
+        tiles = dealt.select("key", "lo", F.col("lo").alias("hi"), "set", "root", "size", "sketch")
+    elif number.isEmpty():
         tiles = members.select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "set", "root", "size", "sketch")
     else:
         dealt = members.join(number, "key", "left").withColumn("blocks", F.coalesce("more", F.lit(0)) + 1).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int"))
@@ -540,16 +569,10 @@ def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
     """
     small_batches(docs.sparkSession)
     bands = Bands(LARGEST, num, den)
-    known = written(_known(docs, words, bands), "join-known")
+    known = written(_known(docs, words), "join-known")
     found = written(_candidates(docs, words, bands), "join-found")
     pairs = found.filter("kind = 0").groupBy("a", "b").agg(F.sum("n").alias("n"))
     members = found.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("set")).distinct()
-    weak = known.filter("weak").select("set", "band", "n_shingles").distinct()
-    if not weak.isEmpty():
-        sets = known.filter("set is not null").select("set", "n_shingles", "band").distinct()
-        reach = weak.select(F.col("set").alias("w"), F.col("n_shingles").alias("x"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-        more = reach.join(sets, "band").filter((F.col("w") != F.col("set")) & (F.greatest("x", "n_shingles") * num <= F.least("x", "n_shingles") * den))
-        pairs = pairs.unionByName(more.select(F.least("w", "set").alias("a"), F.greatest("w", "set").alias("b"), F.lit(1).cast("bigint").alias("n"))).groupBy("a", "b").agg(F.max("n").alias("n"))
     sets = written(known.filter("set is not null").groupBy("set").agg(F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")), "join-sets")
     pairs, members = written(_hopeful(pairs, sets, num, den), "join-pairs"), written(members, "join-members")
     discard(found)
@@ -562,14 +585,16 @@ def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
 
     crowded = not members.isEmpty()
 
-    def among(rows: DataFrame, roots: DataFrame | None, every: bool) -> DataFrame:
-        """Pairs of members of one bucket that are in different components so far."""
-        if roots is None:
-            return _across(rows.withColumn("root", F.col("set")).join(sets, "set"), num, den, every)
+    def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Members with their roots, of buckets that are in several components so far."""
         at = small(roots)
         rooted = rows.join(at, rows["set"] == at["node"], "left").select("key", "set", F.coalesce("root", "set").alias("root"))
-        mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-        return _across(written(rooted.join(mixed, "key", "left_semi"), "join-mixed").join(sets, "set"), num, den, every)
+        several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        return rooted.join(several, "key", "left_semi")
+
+    def among(rows: DataFrame, every: bool) -> DataFrame:
+        """Pairs of members of one bucket that are in different components so far."""
+        return _across(written(rows, "join-mixed").join(sets, "set"), num, den, every).select("a", "b")
 
     def apart(p: DataFrame, roots: DataFrame) -> DataFrame:
         at, columns = small(roots), p.columns
@@ -577,8 +602,8 @@ def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
             p = p.join(at.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
         return p.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(columns)
 
-    # hopeful pairs that connect what all hopeful pairs connect: those of small buckets, and a forest in each crowded one
-    edges = written(among(members, None, False), "join-edges") if crowded else None
+    # hopeful pairs that connect what all hopeful pairs connect: those of small buckets, and a forest in each block of a crowded one
+    edges = written(_across(members.withColumn("root", F.col("set")).join(sets, "set"), num, den, False, True), "join-edges") if crowded else None
     hopeful = pairs.select("a", "b")
     hopeful = written((hopeful.union(edges.select("a", "b")) if crowded else hopeful).distinct(), "join-hopeful")
     # each set's pair with its smallest partner is verified first, then those that are still apart
@@ -603,14 +628,19 @@ def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
 
     more_links(apart(hopeful, roots))
     if crowded:
-        # a bucket whose forest is linked has nothing left to try; in the others what failed to connect may do so by other
-        # pairs: by as few as would, again and again, and when those are used up by every one
-        failed = written(apart(edges, roots).select("key").distinct(), "join-failed")
+        large = written(members.groupBy("key").count().filter(F.col("count") >= BLOCK).select("key"), "join-large")  # buckets of several blocks
+        if not large.isEmpty():
+            dealt = written(members.join(large, "key", "left_semi"), "join-dealt")
+            while more_links(among(mixed(dealt, roots).groupBy("key", "root").agg(F.min("set").alias("set")), False)):
+                pass
+        # a block whose forest is linked has nothing left to try; elsewhere what failed to connect may do so by other pairs: by
+        # as few as would, again and again, and when those are used up by every one
+        failed = written(apart(edges, roots).select("key").union(large).distinct(), "join-failed")
         if not failed.isEmpty():
             members = written(members.join(failed, "key", "left_semi"), "join-members")
-            while more_links(among(members, roots, False).select("a", "b")):
+            while more_links(among(mixed(members, roots), False)):
                 pass
-            more_links(among(members, roots, True).select("a", "b"))
+            more_links(among(mixed(members, roots), True))
 
     least = known.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("first")).join(roots, F.col("set") == F.col("node"), "left").select("set", F.coalesce("root", "set").alias("root"), "first")
     of_root = least.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -84,6 +84,26 @@ def test_similar_group_without_a_centre(spark):
     assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.similar(df).collect()) == sorted(brute_components(rows))
 
 
+@pytest.mark.parametrize("differ", [0, 2])
+def test_similar_buckets_of_several_blocks(spark, monkeypatch, differ):
+    """A group that fills many blocks of a bucket, and unlike texts that share a long passage, which are in its buckets too."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    r = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for n in range(70):
+        t = list(base)
+        for _ in range(differ):
+            t[r.randrange(len(t))] = f"x{r.random()}"
+        rows.append((n, " ".join([*t, f"end{n}"])))
+    rows += [(100 + n, " ".join(base[: 110 + n % 3] + [f"o{n}_{i}" for i in range(40)])) for n in range(40)]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(d, t, "s", 1, "k") for d, t in rows], DOCS)
+    got = ngram_join.similar(df).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got) == sorted(brute_components(rows))
+    assert sorted((x.doc_id, x.n_links) for x in got) == sorted(brute_links(rows))
+
+
 def test_similar_nulls_repeats_and_no_rows(spark):
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (None, None), (7, "q r s t u v")]
     df = spark.createDataFrame([(d, t, "s", 1, "k") for d, t in rows], DOCS)
@@ -92,23 +112,37 @@ def test_similar_nulls_repeats_and_no_rows(spark):
     assert ngram_join.similar(df.limit(0)).count() == 0
 
 
-def test_signatures_lose_no_pair():
-    """Any two sets that link agree in a signature that one of them looks up, or the larger is weak."""
+def near_pairs(r, size, universe):
+    """Two sets of about this size that link."""
+    for _ in range(50):
+        a = np.unique(universe(size))
+        drop = r.integers(0, max(1, int(0.1 * size)) + 1)
+        b = np.unique(np.r_[a[drop:], universe(r.integers(0, max(1, int(0.1 * size)) + 1))])
+        both = len(np.intersect1d(a, b))
+        if len(b) and 100 * both >= 80 * (len(a) + len(b) - both) and not np.array_equal(a, b):
+            yield a, b
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_signatures_lose_no_pair(crowded):
+    """Any two sets that link agree in a signature that one of them looks up, also if all their shingles fall into one segment."""
     r = np.random.default_rng(3)
     bands = ngram_join.Bands(1 << 20)
-    for size in [1, 2, 3, 4, 5, 6, 9, 10, 17, 40, 100, 130, 400, 1500]:
-        for _ in range(6):
-            a = np.unique(r.integers(0, 2**63, size).astype(np.uint64))
-            drop = r.integers(0, max(1, int(0.1 * size)) + 1)
-            b = np.unique(np.r_[a[drop:], r.integers(0, 2**63, r.integers(0, max(1, int(0.1 * size)) + 1)).astype(np.uint64)])
-            both = len(np.intersect1d(a, b))
-            if 100 * both < 80 * (len(a) + len(b) - both) or not len(b):
-                continue
+    top = np.uint64(2**40 if crowded else 2**63)
+    for size in [5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 20, 30, 33, 36, 40, 100, 130, 400, 1500]:
+        for a, b in near_pairs(r, size, lambda n: r.integers(0, top, n).astype(np.uint64)):
             flat, sizes = np.concatenate([a, b]), np.array([len(a), len(b)])
-            weak = ngram_join.allotted(flat, sizes, bands, False, False)["weak"] | ngram_join.allotted(flat, sizes, bands, True, False)["weak"]
             key, ids, flags = ngram_join.signatures(flat, sizes, np.array([1, 2], np.uint64), bands)
-            left, right, _, _ = ngram_join.matched(key, ids, flags)
-            assert len(left) or weak.any() or np.array_equal(a, b)
+            assert len(ngram_join.matched(key, ids, flags)[0]), (len(a), len(b))
+
+
+def test_few_sets_are_cut_twice():
+    r = np.random.default_rng(4)
+    bands = ngram_join.Bands(1 << 20)
+    for size in (9, 11, 33, 60, 200, 1000):
+        sets = [np.unique(r.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(40_000 // size)]
+        a = ngram_join.allotted(np.concatenate(sets), np.array([len(x) for x in sets]), bands, False)
+        assert a["crowded"].mean() < 0.1 and a["weak"].mean() < 0.001
 
 
 def test_words_hash_alike_wherever_they_stand():
