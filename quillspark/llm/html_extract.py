@@ -3,7 +3,8 @@
 Tokens of a page are its tags (name, class and id, and the path of elements around them) and its text nodes. Tokens of
 same-host pages that occur equally often in every page share an occurrence vector and form an equivalence class. A class is
 valid if it has two tokens or more, holds in most pages of the host, and its tokens follow each other in one order; valid
-classes are nested by the order of their tokens into the host's template. What lies between template tokens are slots. Blocks
+classes are nested by the order of their tokens into the host's template, and a page that breaks a class's order or nesting
+does without it. What lies between template tokens are slots. Blocks
 of a template's text nodes are boilerplate wherever they stand; a slot is extracted if the elements that the template puts
 around it make it part of the article.
 
@@ -15,7 +16,8 @@ from __future__ import annotations
 
 import html as html_entities
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Set
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +34,12 @@ SUPPORT = 0.5
 TEXT_SUPPORT = 0.9
 #: Template tokens of all hosts up to which they are broadcast; beyond that the join shuffles.
 BROADCAST_TOKENS = 1_000_000
+#: Hosts whose templates a worker holds.
+KNOWN_HOSTS = 256
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.DOTALL)
+#: Attributes up to the end of a tag: quotes hold a value after = only.
+_REST = r"""((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)(?:>|\Z)"""
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)""" + _REST, re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|type)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 
 # HTML's elements by what they mean here.
@@ -48,11 +54,17 @@ BLOCK = {
 APART = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "fieldset", "search"}
 MAIN = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"}
-#: Words of class and id names of what is no article.
+# Words of class and id names of what is no article.
 NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "promo", "promotion", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar",
-    "aside", "widget", "footer", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "share", "sharing", "social",
-    "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "related", "recommended", "recommendations", "trending", "copyright", "disclaimer", "toolbar", "masthead", "topbar", "pagination", "pager", "search", "form", "skip",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "sponsor", "sponsored", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside", "footer", "cookie", "cookies", "consent",
+    "gdpr", "popup", "modal", "overlay", "newsletter", "signup", "login", "comment", "comments", "commentlist", "disqus", "replies", "respond", "recommended", "recommendations", "trending", "copyright", "disclaimer", "toolbar", "masthead",
+    "topbar", "pagination", "pager", "skip", "discussion", "discussions",
+}
+#: Words that say so only if all words of the name are of these, NAMES or PLACES: 'social-links' does, 'social-sciences' doesn't.
+WEAK_NAMES = {"social", "search", "form", "share", "sharing", "related", "promo", "promotion", "widget", "notice", "notices", "subscribe", "subscription", "reply", "responses", "feedback"}
+PLACES = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "col", "container", "content", "group", "header", "icon", "icons", "inner", "item", "items", "js", "left", "link", "links", "list", "main", "media", "module", "outer", "panel",
+    "post", "posts", "right", "row", "section", "site", "top", "user", "users", "wrap", "wrapper", "articles", "stories", "news", "read", "more", "you", "may", "also", "like", "this", "page", "us", "follow",
 }
 #: Words of names that say how a page is laid out.
 LAYOUT = {"no", "not", "has", "with", "without", "layout"}
@@ -78,8 +90,11 @@ def _says_apart(label: str, inside: bool) -> bool:
     """Whether a name of class or id has a word of NAMES and none of LAYOUT: 'has-sidebar' is no sidebar. Headers inside the article belong to it."""
     for name in label.split():
         words = {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w}
-        words.add(re.sub("[^a-z]", "", name.lower()))
-        if LAYOUT.isdisjoint(words) and (not NAMES.isdisjoint(words) or ("header" in words and not inside)):
+        whole = words | {re.sub("[^a-z]", "", name.lower())}
+        if not LAYOUT.isdisjoint(whole):
+            continue
+        weak = not WEAK_NAMES.isdisjoint(whole) and words <= WEAK_NAMES | NAMES | PLACES
+        if not NAMES.isdisjoint(whole) or weak or ("header" in whole and not inside):
             return True
     return False
 
@@ -98,7 +113,7 @@ def _role(name: str, attributes: str, parent: _Element) -> tuple[bool, str]:
 def _same_tags(name: str) -> re.Pattern:
     """Comments, code, and the tags of one element of RAW."""
     code = "" if name in CODE else r"|<(?:script|style)\b.*?</(?:script|style)\b[^>]*(?:>|\Z)"
-    return re.compile(rf"""<!--.*?(?:-->|\Z){code}|<(/?){name}(?=[\s/>]|\Z)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.DOTALL | re.IGNORECASE)
+    return re.compile(rf"""<!--.*?(?:-->|\Z){code}|<(/?){name}(?=[\s/>]|\Z)""" + _REST, re.DOTALL | re.IGNORECASE)
 
 
 def _closed(page: str, name: str) -> dict[int, int]:
@@ -119,6 +134,7 @@ def _closed(page: str, name: str) -> dict[int, int]:
 def parsed(page: str) -> Iterator[tuple[str, int, str, _Element]]:
     """(kind, token, data, element around it): kind 'open', 'close' or 'text'; token is its hash with its path, 0 for white space. Text is raw."""
     stack = [_Element("", 0, False, False, False)]
+    opened: Counter = Counter()  # open elements by name: a closing tag that closes none isn't looked for
     closed: dict[str, dict[int, int]] = {}
     at, n = 0, len(page)
     while at < n:
@@ -137,17 +153,18 @@ def parsed(page: str) -> Iterator[tuple[str, int, str, _Element]]:
             continue
         name = name.lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    yield "close", _hash("/" + name, stack[i].path), name, stack[i]
-                    del stack[i:]
-                    break
-            else:
+            if not opened[name]:
                 yield "close", 0, name, stack[-1]
+                continue
+            while stack[-1].name != name:
+                opened[stack.pop().name] -= 1
+            opened[name] -= 1
+            element = stack.pop()
+            yield "close", _hash("/" + name, element.path), name, element
             continue
         top = stack[-1]
         if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and top.name == name:
-            stack.pop()  # such an element ends where the next begins
+            opened[stack.pop().name] -= 1  # such an element ends where the next begins
             top = stack[-1]
         apart, label = _role(name, m[3], top)
         path = _hash(f"{name} {label}", top.path)
@@ -162,6 +179,7 @@ def parsed(page: str) -> Iterator[tuple[str, int, str, _Element]]:
                 at = closed[name].get(end, at)  # an element that nothing closes is its tag alone
         elif name not in VOID and not m[3].endswith("/"):
             stack.append(_Element(name, path, apart, top.main or name in MAIN, top.link or name == "a"))
+            opened[name] += 1
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,31 +224,59 @@ def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     return host_tokens.select("host", F.transform("t", lambda x: x["token"]).alias("tokens"), F.transform("t", lambda x: F.xxhash64(x["class"])).alias("classes"), F.transform("t", lambda x: x["is_text"]).alias("is_text"))
 
 
-def _blocks(page: str, template: dict[int, tuple[int, int, bool]]) -> list[str]:
-    """The blocks of the article in page order. template: token to (its place, class, whether it is text).
+Template = dict[int, tuple[int, int, int, bool]]
 
-    A slot is what lies between two template tokens of a valid class; a class whose tokens are out of order in this page is
-    no class here. Blocks whose text nodes are all template are boilerplate, inside the article too; a block that holds
-    anything else is kept whole. A page with template text only has no slot that tells its article: tags and names alone do.
-    """
-    events = list(parsed(page))
-    last: dict[int, tuple[int, int]] = {}
-    times: dict[int, int] = {}
+
+def _template(tokens, classes, is_text) -> Template:
+    """Of each token its class, its place in the class and the class's size, and whether it is text."""
+    size: Counter = Counter()
+    out: Template = {}
+    for t, c, x in zip(tokens, classes, is_text, strict=True):
+        out[int(t) & 0xFFFFFFFFFFFFFFFF] = (int(c), size[int(c)], 0, bool(x))
+        size[int(c)] += 1
+    return {t: (c, n, size[c], x) for t, (c, n, _, x) in out.items()}
+
+
+def _broken(events: list, template: Template) -> set[int]:
+    """The classes whose tokens don't follow each other in order in this page, again and again, or that aren't nested: a class between two tokens of another is complete there."""
     broken: set[int] = set()
+    following: dict[int, int] = {}
+    stack: list[int] = []  # classes that have begun, innermost last
     for _, token, _, _ in events:
-        if (t := template.get(token)) is not None:
-            # the tokens of a class occur equally often: all for the first time in their order, then all for the second
-            times[token] = times.get(token, 0) + 1
-            here = (times[token], t[0])
-            if t[2] and last.get(t[1], here) > here:
-                broken.add(t[1])
-            last[t[1]] = max(last.get(t[1], here), here)
-    texts = {token for token, t in template.items() if t[2] and t[1] not in broken}
-    return _article(events, template, texts) or (_article(events, template, set()) if texts else [])
-
-
-def _article(events: list[tuple[str, int, str, _Element]], template: dict[int, tuple[int, int, bool]], boilerplate: set[int]) -> list[str]:
-    """The blocks of the article, where `boilerplate` are the tokens of template text."""
+        t = template.get(token)
+        if t is None or t[0] in broken:
+            continue
+        c, n, size, _ = t
+        if n != following.get(c, 0):
+            broken.add(c)
+            continue
+        if not n:
+            stack.append(c)
+        else:
+            while stack and stack[-1] != c:
+                broken.add(stack.pop())  # it goes on beyond the class around it
+        following[c] = (n + 1) % size
+        if n == size - 1 and stack:
+            stack.pop()
+    return broken | {c for c, n in following.items() if n}
+
+
+def _blocks(page: str, template: Template) -> list[str]:
+    """The blocks of the article in page order.
+
+    A slot is what lies between two template tokens. A class that this page breaks is taken apart: an element's tag and its
+    closing tag are a class of their own, which is always in order and nested, and its text nodes are in none. Blocks whose
+    text nodes are all template are boilerplate, inside the article too; a block that holds anything else is kept whole. A
+    page with template text only has no slot that tells its article: tags and names alone do.
+    """
+    events = list(parsed(page))
+    broken = _broken(events, template) if template else set()
+    texts = {token for token, t in template.items() if t[3] and t[0] not in broken}
+    return _article(events, template.keys(), texts) or (_article(events, template.keys(), set()) if texts else [])
+
+
+def _article(events: list[tuple[str, int, str, _Element]], template: Set[int], boilerplate: Set[int]) -> list[str]:
+    """The blocks of the article. template: the tokens that part slots; boilerplate: those of them that are text."""
     slots: list[dict] = []
     slot: dict | None = None
     words: list[str] = []
@@ -250,13 +296,12 @@ def _article(events: list[tuple[str, int, str, _Element]], template: dict[int, t
 
     key = None
     for kind, token, data, element in events:
-        t = template.get(token)
         if kind != "text":
             if data in BLOCK:
                 ended()
             elif data == "br":
                 words.append(" ")
-            if t is not None and data in BLOCK:
+            if data in BLOCK and token in template:
                 slot = None
             continue
         if data.isspace():  # parts words, and is no text of any element
@@ -295,12 +340,14 @@ def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     joined = at.join(F.broadcast(found) if tokens <= BROADCAST_TOKENS else found, "host", "left")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict] = {}
+        known: dict[str, Template] = {}
         for b in batches:
             out = []
             for h, page, tokens, classes, is_text in zip(b["host"], b["html"], b["tokens"], b["classes"], b["is_text"], strict=True):
                 if h not in known:
-                    known[h] = {} if tokens is None else {int(t) & 0xFFFFFFFFFFFFFFFF: (n, int(c), bool(x)) for n, (t, c, x) in enumerate(zip(tokens, classes, is_text, strict=True))}
+                    if len(known) >= KNOWN_HOSTS:
+                        known.clear()
+                    known[h] = {} if tokens is None else _template(tokens, classes, is_text)
                 out.append("\n".join(_blocks(page or "", known[h])))
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": out, "n_chars": [len(t) for t in out]})
 

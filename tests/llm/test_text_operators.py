@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import time
@@ -369,6 +370,82 @@ def test_template_text_of_small_hosts_and_of_any_length(spark):
     assert extracted(spark, ["<body><div><p>Popular</p><p>Text</p></div>"] * 30 + ["<body><div><p>Rare</p></div>"]) == ["Popular\nText"] * 30 + ["Rare"]
 
 
+def brute_template(pages, support=html_extract.SUPPORT):
+    """The classes of a host: tokens of one occurrence vector, from the vectors themselves."""
+    vectors, text, n = {}, {}, len(pages)
+    for i, page in enumerate(pages):
+        for kind, token, _, _ in html_extract.parsed(page):
+            if token:
+                vectors.setdefault(token, [0] * n)[i] += 1
+                text[token] = kind == "text"
+    classes = {}
+    for token, v in vectors.items():
+        held = sum(x > 0 for x in v)
+        if n >= 2 and held >= n * support and (not text[token] or held >= n * html_extract.TEXT_SUPPORT):
+            classes.setdefault(tuple(v), set()).add(token)
+    return {frozenset(c) for c in classes.values() if len(c) >= 2 and not all(text[t] for t in c)}
+
+
+def test_templates_are_brute_force(spark):
+    r = random.Random(5)
+    hosts = {}
+    for h in range(6):
+        bar, end = f"<ul class=m{h}><li>Start</li><li>End {h}</li></ul>", "<p>All rights</p>"
+        hosts[f"h{h}"] = [f"<div>{bar if r.random() < 0.9 else ''}<h1>t{n}</h1>{''.join(f'<p>x{r.random()}</p>' for _ in range(r.randrange(1, 4)))}{end * r.choice([1, 1, 1, 2])}</div>" for n in range(r.randrange(1, 9))]
+    rows = [(n, h, page) for h, pages in hosts.items() for n, page in enumerate(pages)]
+    got = {}
+    for x in html_extract.templates(spark.createDataFrame(rows, "page_id long, host string, html string")).collect():
+        by = {}
+        for t, c in zip(x["tokens"], x["classes"], strict=True):
+            by.setdefault(c, set()).add(t & 0xFFFFFFFFFFFFFFFF)
+        got[x["host"]] = {frozenset(c) for c in by.values()}
+    assert got == {h: c for h, pages in hosts.items() if (c := brute_template(pages))}
+
+
+def test_the_template_decides(spark):
+    """Without names that say anything, boilerplate is told by the template alone: most pages need it."""
+    bar = "<div class=q1><p>Weather today</p><p>Stock prices</p></div>"
+    pages = [f"<body>{bar}<div class=q2><h1>Title {n}</h1><p>Text of {n}, long enough to be read.</p>{bar}</div><div class=q3><p>Written by a machine</p></div>" for n in range(8)]
+    want = [f"Title {n}\nText of {n}, long enough to be read." for n in range(8)]
+    assert extracted(spark, pages) == want
+    assert all("\n".join(html_extract._blocks(p, {})) != w for p, w in zip(pages, want, strict=True))
+
+
+def test_classes_out_of_order_or_not_nested_are_broken():
+    def events(tokens):
+        return [("open", t, "", None) for t in tokens]
+
+    template = html_extract._template([1, 2, 3, 4, 5, 6], [7, 7, 7, 8, 8, 9], [False] * 6)
+    assert html_extract._broken(events([1, 2, 4, 5, 3, 6]), template) == set()
+    assert html_extract._broken(events([1, 4, 5, 4, 5, 2, 3, 1, 2, 3]), template) == set()
+    assert html_extract._broken(events([2, 1, 3, 4, 5]), template) == {7}
+    assert html_extract._broken(events([1, 4, 2, 5, 3]), template) == {8}
+    assert html_extract._broken(events([1, 2, 4, 5]), template) == {7}
+
+
+def test_parts_of_the_article_and_others():
+    def blocks(x):
+        return html_extract._blocks(f"<article><p>A</p>{x}</article>", {})
+
+    assert blocks('<section class="discussion"><p>user: nice</p></section>') == ["A"]
+    for name in ("search-form", "social-links", "related posts", "share_buttons", "reply", "cookie-wall"):
+        assert blocks(f'<div class="{name}"><p>x</p></div>') == ["A"], name
+    for name in ("search-results", "social-sciences", "related-work", "notice-of-meeting", "reformation"):
+        assert blocks(f'<div class="{name}"><p>x</p></div>') == ["A", "x"], name
+    assert blocks("<p title=it's>Hello</p><p>Second don't</p><p title='a>b' x=\"c>d\">Third</p>") == ["A", "Hello", "Second don't", "Third"]
+    assert blocks('<p title="no end>Hello</p><p>Second</p>') == ["A", "Hello", "Second"]
+
+
+def test_broken_markup_takes_time_in_proportion():
+    seconds = []
+    for n in (4_000, 16_000):
+        start = time.perf_counter()
+        got = html_extract._blocks("<article>" + "<b>x</i>" * n + "</article>", {})
+        seconds.append(time.perf_counter() - start)
+        assert got == ["x" * n]
+    assert seconds[1] < 10 * seconds[0]
+
+
 def test_white_space_between_inline_elements_parts_words():
     page = "<article> <p> <b>foo</b> <i>bar</i>\n<a>one</a>\t<a>two</a><a>three</a> </p> <p>x</p> </article> <div> <em>apart</em> </div>"
     assert html_extract._blocks(page, {}) == ["foo bar one twothree", "x"]
