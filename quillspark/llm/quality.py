@@ -4,7 +4,8 @@ Two logistic models read a document's whole text: the chance that it is of low q
 shares (of characters by kind, of repeated words and lines) and the presence of words of a vocabulary; an L1 penalty leaves few
 words with weight. They are fitted on the driver to a bounded sample of the labelled rows.
 
-Sites are levels of columns, here source and then language within source. A level's mean evidence has a Beta prior around its
+Sites are levels of columns: host and path of a column url where there is one. `documents` has neither, so there a source
+stands for the host and a language within it for the path. A level's mean evidence has a Beta prior around its
 parent's posterior whose strength is estimated from all groups of the level (method of moments): sparse sites shrink to their
 parent, and at last to the global mean. A document's posterior log odds are its own plus those by which its site's posterior
 differs from the global mean. All of this is grouped aggregation: sums per site, then sums over sites.
@@ -21,12 +22,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import claim, small_batches, written
+from quillspark.llm.common import claim, discard, small_batches, written
 
 #: Most labelled documents that the models are fitted to; a hash of the ids chooses them.
 TRAINING_ROWS = 8_000
-#: A word is in the vocabulary if so many training documents have it.
-LEAST_DOCUMENTS = 5
+#: A word is in the vocabulary if so many training documents have it, it has so many bytes at most, and so many words at most are in more documents.
+LEAST_DOCUMENTS, LONGEST_WORD, VOCABULARY = 5, 64, 1 << 16
 #: Steps of the fit over shares alone, of that which chooses words, and of that over the chosen ones.
 STEPS = 100
 #: Penalty of a word's weight, in units of what chance makes the largest gradient of all words.
@@ -96,20 +97,17 @@ class Model:
         return np.array(out).reshape(-1, len(HEADS))
 
 
-def fit(rows: list[tuple[list[float], bytes]], labels: np.ndarray, steps: int = STEPS, l1: float = L1) -> Model:
-    """Logistic regression by proximal gradient steps that adapt to each weight. rows: shares, and distinct words parted by spaces. labels: a row of 0 or 1 for each head."""
-    count: dict[bytes, int] = {}
-    for _, words in rows:
-        for w in words.split():
-            count[w] = count.get(w, 0) + 1
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in count.items() if n >= LEAST_DOCUMENTS))}
-    del count
-    at = [np.array([i for w in words.split() if (i := vocabulary.get(w)) is not None], np.int32) for _, words in rows]
+def fit(rows: list[tuple[list[float], bytes]], labels: np.ndarray, names: list[bytes], steps: int = STEPS, l1: float = L1) -> Model:
+    """Logistic regression by proximal gradient steps that adapt to each weight.
+
+    rows: shares, and the distinct words as 32-bit numbers in `names`. labels: a row of 0 or 1 for each head.
+    """
+    at = [np.frombuffer(words, np.int32) for _, words in rows]
     column = np.concatenate([*at, np.empty(0, np.int32)])
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(a) for a in at])
     del at
     dense = np.array([s for s, _ in rows]).reshape(len(rows), SHARES)
-    n, v = max(1, len(rows)), len(vocabulary)
+    n, v = max(1, len(rows)), len(names)
     shares, weights, start = np.zeros((SHARES, len(HEADS))), np.zeros((v, len(HEADS))), np.zeros(len(HEADS))
     for h in range(len(HEADS)):
         y = labels[:, h] if len(rows) else np.empty(0)
@@ -140,7 +138,6 @@ def fit(rows: list[tuple[list[float], bytes]], labels: np.ndarray, steps: int =
             b -= 0.5 / np.sqrt(gb) * db
         shares[:, h], weights[:, h], start[h] = d, w, b
     used = np.flatnonzero(np.abs(weights).sum(axis=1))
-    names = list(vocabulary)
     return Model(shares, {names[i]: tuple(weights[i]) for i in used}, start)
 
 
@@ -153,11 +150,24 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Mo
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [features(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "low": b["low"], "toxic": b["toxic"], "shares": [f[0] for f in found], "words": [b" ".join(sorted(f[1])) for f in found]})
+            words = [sorted(w for w in f[1] if len(w) <= LONGEST_WORD) for f in found]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "low": b["low"], "toxic": b["toxic"], "shares": [f[0] for f in found], "words": words})
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(read, "doc_id long, low int, toxic int, shares array<double>, words binary").dropDuplicates(["doc_id"])
-    got = texts.toPandas().sort_values(["doc_id", "words"], ignore_index=True)
-    return fit([(x, bytes(w)) for x, w in zip(got["shares"], got["words"], strict=True)], got[list(HEADS)].to_numpy(float).reshape(-1, len(HEADS)))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").mapInPandas(read, "doc_id long, low int, toxic int, shares array<double>, words array<binary>")
+    texts = written(texts.dropDuplicates(["doc_id"]), "quality-training")
+    often = texts.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_DOCUMENTS)
+    names = sorted(bytes(r["w"]) for r in often.orderBy(F.desc("n"), "w").limit(VOCABULARY).select("w").collect())  # VOCABULARY words of LONGEST_WORD bytes at most
+    number = {w: i for i, w in enumerate(names)}
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["words"] = [np.array([i for w in x if (i := number.get(bytes(w))) is not None], np.int32).tobytes() for x in b["words"]]
+            yield b
+
+    # `rows` rows of four bytes for each word of the vocabulary at most
+    got = texts.mapInPandas(numbered, "doc_id long, low int, toxic int, shares array<double>, words binary").toPandas().sort_values(["doc_id"], ignore_index=True)
+    discard(texts)
+    return fit([(x, bytes(w)) for x, w in zip(got["shares"], got["words"], strict=True)], got[list(HEADS)].to_numpy(float).reshape(-1, len(HEADS)), names)
 
 
 def _logit(p: Column) -> Column:
@@ -203,12 +213,24 @@ def site_shifts(evidence: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFr
     return written(above.select(*levels, *[(_logit(F.col(f"post_{h}")) - _logit(F.lit(overall[h]))).alias(f"shift_{h}") for h in HEADS]), "quality-shifts")
 
 
-def judge(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] = LEVELS, reject: float = REJECT, rows: int = TRAINING_ROWS) -> DataFrame:
+def sited(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
+    """docs and the names of its levels: host and path (up to its last /) of a column url, which are added, else LEVELS."""
+    if "url" not in docs.columns:
+        return docs, LEVELS
+    url = F.coalesce(F.col("url"), F.lit(""))
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*/|/)", 1)
+    return docs.withColumns({"_host": host, "_path": path}), ("_host", "_path")
+
+
+def judge(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] | None = None, reject: float = REJECT, rows: int = TRAINING_ROWS, text: bool = True) -> DataFrame:
     """docs with columns p_low, p_toxic (the text's evidence), site_low, site_toxic (log odds by the site), post_low, post_toxic and keep.
 
-    keep is false where either posterior chance is beyond `reject`. Null and empty texts are judged as texts without words.
-    A null level value is a site of its own. Without labels, or with one class only, a head says the class's share. Other
-    columns pass through; columns with those names are overwritten. Rows are judged one by one, repeated ids too.
+    keep is false where either posterior chance is beyond `reject`. Levels are those of sited() unless given. Null and empty
+    texts are judged as texts without words. A null level value is a site of its own. Without labels, or with one class
+    only, a head says the class's share. Other columns pass through, the text only if it is asked for; columns with those
+    names are overwritten. Rows are judged one by one, repeated ids too. Texts are read once: their evidence is written down
+    beside the columns that are asked for, summed by site, and met with the sites' shifts.
     """
     small_batches(docs.sparkSession)
     model = trained(docs, labels, rows)
@@ -219,16 +241,19 @@ def judge(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] = LEVELS,
         return pd.DataFrame(1 / (1 + np.exp(-model.log_odds(texts))), columns=list(HEADS))
 
     made = [f"{k}_{h}" for k in ("p", "site", "post") for h in HEADS]
-    docs = docs.drop(*made, "keep", "_e", *[f"_{c}" for c in levels])
-    seen = docs.select(*levels, evidence("text").alias("_e"))
+    docs = docs.drop(*made, "keep", "_e", "_host", "_path")
+    if levels is None:
+        docs, levels = sited(docs)
+    docs = docs.drop(*[f"_at{i}" for i in range(len(levels))])
+    seen = docs.withColumn("_e", evidence("text"))
+    seen = written(seen if text else seen.drop("text"), "quality-evidence")
     shifts = site_shifts(seen.select(*levels, *[F.col(f"_e.{h}").alias(f"p_{h}") for h in HEADS]), levels)
-    at = shifts.select(*[F.col(c).alias(f"_{c}") for c in levels], *[F.col(f"shift_{h}").alias(f"site_{h}") for h in HEADS])
+    at = shifts.select(*[F.col(c).alias(f"_at{i}") for i, c in enumerate(levels)], *[F.col(f"shift_{h}").alias(f"site_{h}") for h in HEADS])
     at = F.broadcast(at) if shifts.count() <= BROADCAST_SITES else at
-    out = docs.withColumn("_e", evidence("text"))
     same = F.lit(True)
-    for c in levels:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    out = out.join(at, same).drop(*[f"_{c}" for c in levels])
+    for i, c in enumerate(levels):
+        same = same & F.col(c).eqNullSafe(F.col(f"_at{i}"))
+    out = seen.join(at, same).drop("_host", "_path", *[f"_at{i}" for i in range(len(levels))])
     out = out.withColumns({f"p_{h}": F.col(f"_e.{h}") for h in HEADS}).drop("_e")
     out = out.withColumns({f"post_{h}": 1 / (1 + F.exp(-(_logit(F.col(f"p_{h}")) + F.col(f"site_{h}")))) for h in HEADS})
     return out.withColumn("keep", (F.col("post_low") <= reject) & (F.col("post_toxic") <= reject))

@@ -27,7 +27,7 @@ def op4_block_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text")
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), text=False)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -312,6 +312,48 @@ def test_sites_shrink_to_their_parents(spark):
     assert abs(got["new", "a"]) < got["bad", "a"]
 
 
+def brute_shifts(rows):
+    """Posterior log odds of each (source, lang) less the global ones, group by group."""
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    overall = min(1 - 1e-6, max(1e-6, sum(p for *_, p in rows) / len(rows)))
+    up = {(): overall}
+    for depth in (1, 2):
+        groups = {}
+        for *site, p in rows:
+            groups.setdefault(tuple(site[:depth]), []).append(p)
+        mean = {g: sum(x) / len(x) for g, x in groups.items()}
+        between = sum(len(x) * (mean[g] - up[g[:-1]]) ** 2 for g, x in groups.items()) - sum(max(0, sum(p * p for p in x) / len(x) - mean[g] ** 2) for g, x in groups.items())
+        spread = sum(len(x) * up[g[:-1]] * (1 - up[g[:-1]]) for g, x in groups.items())
+        strength = min(1e6, max(2.0, spread / between - 1 if between > 0 else 1e6))
+        up = {g: (sum(x) + strength * up[g[:-1]]) / (len(x) + strength) for g, x in groups.items()}
+    return {g: logit(p) - logit(overall) for g, p in up.items()}
+
+
+def test_posteriors_are_brute_force(spark):
+    r = random.Random(3)
+    rows = [(f"s{r.randrange(5)}" if r.random() < 0.9 else None, r.choice(["a", "b", None]), r.random() ** (1 + r.randrange(4))) for _ in range(400)]
+    df = spark.createDataFrame([(s, p, x, 0.0) for s, p, x in rows], "source string, lang string, p_low double, p_toxic double")
+    got = {(x.source, x.lang): x.shift_low for x in quality.site_shifts(df).collect()}
+    want = brute_shifts(rows)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    docs = [(i, " ".join(r.choices(["good", "fine", "BAD!!", "worse##"], k=20)), f"s{i % 3}", "en") for i in range(200)]
+    labels = spark.createDataFrame([(i, int("BAD" not in t[:40]), 0) for i, t, _, _ in docs], "doc_id long, quality int, toxic int")
+    out = quality.judge(spark.createDataFrame(docs, "doc_id long, text string, source string, lang string"), labels).collect()
+    shift = brute_shifts([(x.source, x.lang, x.p_low) for x in out])
+    for x in out:
+        odds = math.log(x.p_low / (1 - x.p_low)) if 1e-6 < x.p_low < 1 - 1e-6 else math.copysign(math.log((1 - 1e-6) / 1e-6), x.p_low - 0.5)
+        assert abs(x.site_low - shift[x.source, x.lang]) < 1e-9
+        assert abs(x.post_low - 1 / (1 + math.exp(-odds - x.site_low))) < 1e-9 and x.keep == (x.post_low <= 0.5 and x.post_toxic <= 0.5)
+
+
+def test_sites_of_urls(spark):
+    rows = [(1, "a", "https://www.X.org/news/2024/p.html?q=/"), (2, "b", "http://u@x.org:80/"), (3, "c", None), (4, "d", "none")]
+    df, levels = quality.sited(spark.createDataFrame(rows, "doc_id long, text string, url string"))
+    assert [(r["_host"], r["_path"]) for r in df.orderBy("doc_id").collect()] == [("www.x.org", "/news/2024/"), ("x.org", "/"), ("", ""), ("", "")]
+    out = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, url string"), spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"), text=False)
+    assert out.count() == 4 and "text" not in out.columns and not {"_host", "_path"} & set(out.columns)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header class="site">Site name</header><nav><ul><li><a href="/a">A</a></li><li><a>B</a></li></ul></nav><div class="ad">Buy {n}</div>
 <article><h1>Title {n}</h1><p>First&nbsp;  line &lt;{n}&gt; <b>bold</b>text<br>next<p>Second {n}</p><div class="comments"><p>me too</p></div><aside>see also</aside><form>name</form></article>
