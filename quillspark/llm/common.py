@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, or what SparkContext.setCheckpointDir was given."""
+    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if known:
         return known
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
-    return spark.sparkContext.getCheckpointDir()
+    if spark.sparkContext.master.startswith("local"):  # one machine: the warehouse is a folder that all of it shares
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -71,12 +72,31 @@ def claim(name: str, clear: Callable[[], None]) -> None:
 BATCH_ROWS = 2000
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS rows: with whole texts, the default of 10000 is too much memory for a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for as long as plans are made and run inside; then it is as it was."""
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def small_batches(operator: Callable) -> Callable:
+    """Of an operator on a DataFrame: its Python stages, which all run before it returns, get batches of BATCH_ROWS rows.
+
+    With whole texts, Spark's default of 10000 rows is too much memory for a worker.
+    """
+
+    @wraps(operator)
+    def run(df: DataFrame, *args, **options):
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        now = int(df.sparkSession.conf.get(key, "10000"))
+        with setting(df.sparkSession, key, str(now if 0 < now <= BATCH_ROWS else BATCH_ROWS)):
+            return operator(df, *args, **options)
+
+    return run
 
 
 def partitions(spark: SparkSession) -> int:
@@ -86,3 +106,27 @@ def partitions(spark: SparkSession) -> int:
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() has a fast path for ASCII texts and does the same there."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once however often `use` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Of an array the fold of each entry with all before it by an associative step.
+
+    Round k folds every entry with the one 2**k before it, so an array of n entries takes log2(n) passes: a fold that grows
+    an array by one entry at a time would copy it n times.
+    """
+
+    def all_rounds(x: Column) -> Column:
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(x), F.lit(1)))).cast("int"))
+
+        def folded(acc: Column, k: Column) -> Column:
+            back = F.call_function("shiftleft", F.lit(1), k)
+            return F.transform(acc, lambda v, i: F.when(i >= back, step(F.get(acc, i - back), v)).otherwise(v))
+
+        return F.aggregate(rounds, x, folded)
+
+    return let(values, all_rounds)

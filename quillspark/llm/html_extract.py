@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_batches, written
+from quillspark.llm.common import discard, small_batches, written
 
 #: Share of a host's pages in which a class must hold.
 SUPPORT = 0.5
@@ -326,6 +326,7 @@ def _article(events: list[tuple[str, int, str, _Element]], template: Set[int], b
     return [b for s in slots for b in s["blocks"]]
 
 
+@small_batches
 def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     """page_id, url, text, n_chars of every page (columns page_id, url, html).
 
@@ -333,7 +334,6 @@ def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     block made one space, trimmed; '' where there is none. Null, empty and broken html give what can be read of it. Pages
     with a null or unreadable url are one host. Rows with the same page_id are pages each. Other columns are ignored.
     """
-    small_batches(pages.sparkSession)
     at = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     found = written(templates(at, support), "html-templates")
     tokens = found.agg(F.sum(F.size("tokens"))).first()[0] or 0
@@ -351,4 +351,6 @@ def extract(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
                 out.append("\n".join(_blocks(page or "", known[h])))
             yield pd.DataFrame({"page_id": b["page_id"].astype("Int64"), "url": b["url"], "text": out, "n_chars": [len(t) for t in out]})
 
-    return joined.select("page_id", "url", "host", "html", "tokens", "classes", "is_text").mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    out = written(joined.select("page_id", "url", "host", "html", "tokens", "classes", "is_text").mapInPandas(texts, "page_id long, url string, text string, n_chars long"), "html-texts")
+    discard(found)
+    return out

@@ -325,6 +325,7 @@ def frequent_floor(counts: DataFrame, most: int) -> int:
     return floor
 
 
+@small_batches
 def score(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document (columns doc_id, text).
 
@@ -335,7 +336,6 @@ def score(docs: DataFrame, vocabulary: str | None = None, frequent: int = FREQUE
     Other columns are ignored. Words beyond the frequent ones meet their counts by 64-bit hashes.
     """
     path = vocabulary or default_vocabulary()
-    small_batches(docs.sparkSession)
     counts = written(word_counts(docs), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     training = docs.select("doc_id").filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) != 0).count()

@@ -557,6 +557,7 @@ def _link_counts(roots: DataFrame, whole: DataFrame, num: int, den: int) -> Data
     return dealt_out.groupBy("set").agg(F.sum("n").alias("n_links"))
 
 
+@small_batches
 def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN, count_links: bool = True) -> DataFrame:
     """doc_id, n_shingles, component_id, n_links of every document (columns doc_id, text).
 
@@ -567,7 +568,6 @@ def similar(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int = DEN,
     other sets that a document's set links with, copies being one set; without count_links the column is left out.
     Shingles and sets are compared by 64-bit hashes.
     """
-    small_batches(docs.sparkSession)
     bands = Bands(LARGEST, num, den)
     known = written(_known(docs, words), "join-known")
     found = written(_candidates(docs, words, bands), "join-found")

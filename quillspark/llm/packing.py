@@ -413,6 +413,7 @@ def _salted(length: Column, key: Column, counts: np.ndarray) -> Column:
     return F.pmod(key, F.coalesce(F.try_element_at(many, length.cast("int")), F.lit(1))).cast("int")
 
 
+@small_batches
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every piece of every document (columns doc_id, text) and its place.
 
@@ -420,7 +421,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     are cut, into pieces of its capacity and a shorter last one. Sequences are filled from offset 0 without gaps. Rows that
     share a doc_id, or with a null one, are documents each. No documents: no rows. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     cut = written(pieces(docs, tokenizer, capacity), "pack-pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # a row for each length up to the capacity

@@ -223,6 +223,7 @@ def sited(docs: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
     return docs.withColumns({"_host": host, "_path": path}), ("_host", "_path")
 
 
+@small_batches
 def judge(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] | None = None, reject: float = REJECT, rows: int = TRAINING_ROWS, text: bool = True) -> DataFrame:
     """docs with columns p_low, p_toxic (the text's evidence), site_low, site_toxic (log odds by the site), post_low, post_toxic and keep.
 
@@ -232,7 +233,6 @@ def judge(docs: DataFrame, labels: DataFrame, levels: tuple[str, ...] | None = N
     names are overwritten. Rows are judged one by one, repeated ids too. Texts are read once: their evidence is written down
     beside the columns that are asked for, summed by site, and met with the sites' shifts.
     """
-    small_batches(docs.sparkSession)
     model = trained(docs, labels, rows)
 
     @F.pandas_udf("low double, toxic double")

@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import let, running
+
 # The patterns of the base kinds, with the least length of what counts.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_LEAST = 6
@@ -34,30 +36,6 @@ SCOPE = 200
 SPAN = "array<struct<s:bigint,e:bigint>>"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), where value is evaluated once however often `use` mentions it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Of an array the fold of each entry with all before it by an associative step.
-
-    Round k folds every entry with the one 2**k before it, so an array of n entries takes log2(n) passes: a fold that grows
-    an array by one entry at a time would copy it n times.
-    """
-
-    def all_rounds(x: Column) -> Column:
-        rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(x), F.lit(1)))).cast("int"))
-
-        def folded(acc: Column, k: Column) -> Column:
-            back = F.call_function("shiftleft", F.lit(1), k)
-            return F.transform(acc, lambda v, i: F.when(i >= back, step(F.get(acc, i - back), v)).otherwise(v))
-
-        return F.aggregate(rounds, x, folded)
-
-    return _let(values, all_rounds)
-
-
 def located(text: Column, pattern: str, counts: Callable[[Column], Column] | None = None, group: int = 0) -> Column:
     """Spans of the leftmost non-overlapping matches, [] where there is none; `counts` says of a group's text whether its match counts."""
     whole = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m).cast("bigint"))
@@ -72,7 +50,7 @@ def located(text: Column, pattern: str, counts: Callable[[Column], Column] | Non
         all_spans = F.zip_with(ends, found, lambda e, m: F.struct((e - m["w"]).alias("s"), e.alias("e"), m["ok"].alias("ok")))
         return F.transform(F.filter(all_spans, lambda x: x["ok"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))
 
-    return F.when(F.regexp(text, F.lit(pattern)), _let(sized, spans)).otherwise(F.array().cast(SPAN))
+    return F.when(F.regexp(text, F.lit(pattern)), let(sized, spans)).otherwise(F.array().cast(SPAN))
 
 
 def beside(spans: Column, others: list[Column], reach: int, wanted: bool = True) -> Column:
@@ -89,7 +67,7 @@ def beside(spans: Column, others: list[Column], reach: int, wanted: bool = True)
         seen = F.zip_with(events, furthest, lambda v, f: F.struct(v["kind"].alias("kind"), v["s"].alias("s"), v["e"].alias("e"), (f >= v["s"] - reach).alias("near")))
         return F.transform(F.filter(seen, lambda v: (v["kind"] == 1) & (v["near"] == F.lit(wanted))), lambda v: F.struct(v["s"].alias("s"), v["e"].alias("e")))
 
-    return F.when(F.size(spans) > 0, _let(F.sort_array(F.concat(marks, probes)), met)).otherwise(F.array().cast(SPAN))
+    return F.when(F.size(spans) > 0, let(F.sort_array(F.concat(marks, probes)), met)).otherwise(F.array().cast(SPAN))
 
 
 def scan(docs: DataFrame, text: str = "text", scope: int = SCOPE) -> DataFrame:

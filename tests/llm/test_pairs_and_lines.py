@@ -233,12 +233,39 @@ def test_line_dedup_repeated_rows_and_no_rows(spark):
 
 
 def test_runs_are_merged_by_level(spark):
-    runs = line_dedup.LineRuns(fanout=2)
+    runs = line_dedup.LineRuns(spark, fanout=2)
     for b in range(5):
         said = runs.add(spark.createDataFrame([(i, i, 10 * b, False) for i in range(b, b + 3)], "h1 long, h2 long, owner long, many boolean"))
         assert sorted((r.h1, r.owner) for r in said.collect()) == ([] if not b else [(b, 10 * max(0, b - 2)), (b + 1, 10 * max(0, b - 1))])
     assert [len(level) for level in runs.levels] == [1, 0, 1]
     assert sum(r.count() for r in runs.runs()) == 7
+    runs.close()
+    assert runs.runs() == []
+
+
+def test_runs_are_opened_again(spark, tmp_path):
+    """A later session goes on from the folder, and what it reads is neither shuffled nor sorted."""
+    shape = "h1 long, h2 long, owner long, many boolean"
+    first = line_dedup.LineRuns(spark, fanout=3, buckets=3, folder=str(tmp_path))
+    first.add(spark.createDataFrame([(i, -i, i, False) for i in range(100)], shape))
+    first.add(spark.createDataFrame([(i, -i, 1000 + i, False) for i in range(50, 200)], shape))
+    for name in list(first.paths):
+        spark.sql(f"drop table {name}")  # another session's catalog doesn't have them
+    again = line_dedup.LineRuns(spark, fanout=3, folder=str(tmp_path))
+    assert again.levels == first.levels and again.buckets == 3
+    said = again.add(spark.createDataFrame([(i, -i, 5000 + i, False) for i in (7, 150, 300)], shape))
+    assert sorted((r.h1, r.owner) for r in said.collect()) == [(7, 7), (150, 1150)]
+    assert [len(level) for level in again.levels] == [0, 1] and again.runs()[0].count() == 201
+    with line_dedup.setting(spark, line_dedup._ORDERED, "true"), line_dedup.setting(spark, "spark.sql.adaptive.enabled", "false"):
+        plan = again.runs()[0].hint("merge").join(again.runs()[0].select(*line_dedup.KEY), line_dedup.KEY)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
+def test_texts_that_lose_many_lines(spark):
+    rows = [(1, "\n".join(f"shared line number {i}" for i in range(3000))), (2, "\n".join(x for i in range(3000) for x in (f"Shared line number {i}", f"own line {i}", "short")))]
+    df = spark.createDataFrame([(d, t, "s", 1, "k") for d, t in rows], DOCS)
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in line_dedup.digest(df).collect()}
+    assert [(d, *got[d]) for d in (1, 2)] == brute_lines(rows)
 
 
 def test_mixing_follows_its_distribution(spark):
