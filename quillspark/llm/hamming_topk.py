@@ -11,17 +11,18 @@ the rows share is one entry too.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import written
+from quillspark.llm.common import discard, written
 from quillspark.llm.vectors import K, QUERY_STEP, nearest, usable
 
 BITS = 64
-#: Codes below which segments are narrow.
-FEW = 4096
+#: Least and most segments of a code.
+SEGMENTS = (3, 8)
 
 
 def code(vector: str = "embedding") -> Column:
@@ -30,9 +31,11 @@ def code(vector: str = "embedding") -> Column:
 
 
 def segments(codes: int) -> list[tuple[int, int]]:
-    """(first bit, width) of each segment. 16 bits keep the masks of a step few and the lists of millions of codes short; few codes have 8."""
-    width = 16 if codes >= FEW else 8
-    return [(at, width) for at in range(0, BITS, width)]
+    """(first bit, width) of each segment, about log2(codes) wide: then a value has about one code, however many codes there are."""
+    least, most = SEGMENTS
+    n = max(least, min(most, round(BITS / math.log2(max(2, codes)))))
+    edges = [BITS * i // n for i in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _segment(c: Column, at: tuple[int, int]) -> Column:
@@ -67,7 +70,7 @@ def search(rows: DataFrame, k: int = K, id: str = "vec_id", vector: str = "embed
     cut = segments(total)
     index = written(entries.select("code", "ids", F.explode(F.array(*[F.struct(F.lit(i).alias("seg"), _segment(F.col("code"), at).alias("val")) for i, at in enumerate(cut)])).alias("at")).select("code", "ids", "at.seg", "at.val"), "mih-index")
     # worst: no code farther than this can be among a query's k nearest; the join leaves such codes out
-    open_codes, met, done = codes.withColumn("worst", F.lit(BITS)), None, []
+    open_codes, met, done, made = codes.withColumn("worst", F.lit(BITS)), None, [], [fit, entries, codes, index]
     if total <= k + 1:  # every entry is in every result, and they are few
         done.append(codes.select(F.col("code").alias("query")).join(F.broadcast(entries), F.lit(True)).withColumn("distance", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")))
     for step in () if done else range(len(cut) * (max(w for _, w in cut) + 1)):
@@ -89,6 +92,7 @@ def search(rows: DataFrame, k: int = K, id: str = "vec_id", vector: str = "embed
         if seg < len(cut) - 1 and radius < 3:  # early steps are cheap; look at the verdict once a radius
             continue
         met_now = written(_closest(met, k), "mih-met")
+        made.append(met_now)
         sure = met_now.filter(F.col("distance") <= covered).groupBy("query").agg(F.sum(F.size("ids")).alias("n"))
         closed = sure.filter(F.col("n") >= k + 1).select("query")
         done.append(met_now.join(closed, "query", "left_semi"))
@@ -97,13 +101,17 @@ def search(rows: DataFrame, k: int = K, id: str = "vec_id", vector: str = "embed
         left = written(left.select("code", F.coalesce("bound", F.lit(BITS)).alias("worst")), "mih-open")
         met = met_now.join(closed, "query", "left_anti")
         open_codes = left
+        made.append(left)
         if left.isEmpty():
             break
     result = done[0]
     for x in done[1:]:
         result = result.unionByName(x)
     pairs = queries.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(result, "query").select("query_id", F.explode("ids").alias("vec_id"), "distance").filter(F.col("vec_id") != F.col("query_id"))
-    return nearest(pairs, k, "distance").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "distance")
+    out = written(nearest(pairs, k, "distance").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "distance"), "mih-result")
+    for x in made:
+        discard(x)
+    return out
 
 
 def _closest(met: DataFrame, k: int) -> DataFrame:
