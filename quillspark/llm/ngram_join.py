@@ -140,9 +140,7 @@ class Bands:
         self.segments = np.where(few, -(-need * 3 // 4) + (need > 4), need + 4 + need // 25)
         self.cuts = np.where(few, self.segments, np.where(most <= 128, 8, 3))  # the first segments have their deletions indexed
         self.most = most
-        # what a set that falls short allots and its partner's shingles beside its segments are a pair's differences at most;
-        # so many segments its partner fills, less one where all are cut: then it allots 2 to one at least
-        self.crowded = need - 1 - few
+        self.few = few
 
     def of(self, sizes: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.lo, sizes, side="right") - 1
@@ -194,7 +192,10 @@ def allotted(flat: np.ndarray, sizes: np.ndarray, bands: Bands, below: bool, see
     cut[cuttable[_ranks(owner[cuttable], count[cuttable]) < short[owner[cuttable]]]] = True
     filled = np.bincount(owner[full], minlength=len(sizes))
     weak = short > np.bincount(owner[cuttable], minlength=len(sizes))
-    out = {"weak": weak, "crowded": ok & (filled <= bands.crowded[band]), "band": band, "ok": ok}
+    # what a larger set that falls short allots and this one's shingles beside its segments are at most the shingles in which
+    # they differ: so many segments this one fills, less one where all are cut, as the larger allots 2 to one at least
+    crowded = ok & (filled <= bands.needed(sizes, sizes * bands.den // bands.num) - 1 - bands.few[band])
+    out = {"weak": weak, "crowded": crowded, "band": band, "ok": ok}
     scrambled = _mixed(token + np.uint64(1))
     total = np.r_[np.uint64(0), np.cumsum(scrambled)]
     end = np.cumsum(count)

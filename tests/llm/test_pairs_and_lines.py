@@ -139,10 +139,12 @@ def test_signatures_lose_no_pair(crowded):
 def test_few_sets_are_cut_twice():
     r = np.random.default_rng(4)
     bands = ngram_join.Bands(1 << 20)
-    for size in (9, 11, 33, 60, 200, 1000):
-        sets = [np.unique(r.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(40_000 // size)]
-        a = ngram_join.allotted(np.concatenate(sets), np.array([len(x) for x in sets]), bands, False)
-        assert a["crowded"].mean() < 0.1 and a["weak"].mean() < 0.001
+    sizes = sorted({*range(5, 60), *bands.lo[:45].tolist(), *(bands.lo[:45] - 1).tolist(), 100, 1000, 10_000} - {0, 1, 2, 3, 4})
+    for size in sizes:  # band edges too
+        sets = [np.unique(r.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(max(3, 20_000 // size))]
+        for below in (False, True):
+            a = ngram_join.allotted(np.concatenate(sets), np.array([len(x) for x in sets]), bands, below)
+            assert a["crowded"].mean() < 0.2 and a["weak"].mean() < 0.01, size
 
 
 def test_words_hash_alike_wherever_they_stand():
