@@ -144,7 +144,7 @@ def test_few_sets_are_cut_twice():
         sets = [np.unique(r.integers(0, 2**64, size, dtype=np.uint64)) for _ in range(max(3, 20_000 // size))]
         for below in (False, True):
             a = ngram_join.allotted(np.concatenate(sets), np.array([len(x) for x in sets]), bands, below)
-            assert a["crowded"].mean() < 0.2 and a["weak"].mean() < 0.01, size
+            assert (below or a["crowded"].mean() < 0.2) and a["weak"].mean() < 0.01, size
 
 
 def test_words_hash_alike_wherever_they_stand():
