@@ -66,9 +66,13 @@ def strip_last_punctuation(text: Column) -> Column:
     return F.regexp_replace(text, character_class(PUNCTUATION) + "+$", "")
 
 
+#: What remove_punctuation() leaves out beside white space of every kind: of PUNCTUATION what ends or cuts a sentence, with @ # ~ ￥.
+SENTENCE_PUNCTUATION = "+.!/<>“”,$%^*(\"'—！，。？、~@#￥…&（）"
+
+
 def remove_punctuation(text: Column) -> Column:
-    """Without white space, ASCII and Chinese sentence punctuation."""
-    return F.regexp_replace(F.trim(text), r"[\s+.!/<>“”,$%^*(\"']|[+—！，。？、~@#￥%…&*（）]", "")
+    """Without white space (ideographic and no-break spaces too), ASCII and Chinese sentence punctuation."""
+    return F.regexp_replace(text, "[" + character_class(SENTENCE_PUNCTUATION)[1:-1] + r"\s\x{85}\p{Z}]", "")
 
 
 def same_but_punctuation(a: Column, b: Column) -> Column:
@@ -150,14 +154,3 @@ def is_any_punctuation(ch: Column) -> Column:
 def is_cjk(ch: Column) -> Column:
     """In one of the CJK ideograph blocks."""
     return F.regexp(ch, F.lit(r"^[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]$"))
-
-
-def exempt(kind: Column, wrong: Column, right: Column, pass_chars: Column, pass_words: Column, names: Column) -> Column:
-    """Whether a candidate is left alone: by lists of characters and words, names of the document, and forms of address. Lists are arrays."""
-    changed = F.when((F.length(wrong) == 2) & (F.length(right) == 2) & (F.substring(wrong, 1, 1) == F.substring(right, 1, 1)), F.substring(wrong, 2, 1)).when(
-        (F.length(wrong) == 2) & (F.length(right) == 2) & (F.substring(wrong, 2, 1) == F.substring(right, 2, 1)), F.substring(wrong, 1, 1)
-    )
-    char = kind.isin(1, 51) & F.array_contains(pass_chars, F.coalesce(changed, wrong))
-    single = kind.isin(2, 52, 6) & (F.array_contains(pass_chars, wrong) | right.isin(*EXEMPT_RIGHT))
-    word = kind.isin(3, 4, 5) & (F.length(wrong) > 1) & (F.array_contains(names, wrong) | F.array_contains(pass_words, wrong) | F.regexp(wrong, F.lit("[哥姐氏妃]$|^小")))
-    return char | single | word

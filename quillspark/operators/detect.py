@@ -83,7 +83,8 @@ def passed_windows(clauses: DataFrame, pass_words: Column) -> DataFrame:
 class Lexicons:
     """Tables; whichever is None, its detector finds nothing."""
 
-    readings: Column | None = None  # a map of characters to readings
+    readings: Column | None = None  # a map of characters to readings without tones: the key that homophones share
+    tones: dict[str, str] = field(default_factory=dict)  # characters to readings with tones: what tells two homophones apart
     idioms: DataFrame | None = None  # py, word, rank
     same_sound: DataFrame | None = None  # word, cand, rank
     near_chars: DataFrame | None = None  # word, cand, rank
@@ -116,6 +117,15 @@ def _anchors(clauses: DataFrame) -> DataFrame:
     ).withColumn("run", F.col("single") & (F.coalesce("left__s", F.lit(False)) | F.coalesce("right__s", F.lit(False))))
 
 
+def entity_spans(clauses: DataFrame) -> DataFrame:
+    """KEY, j, word, last, span: each protected Han word of a clause, and the text from it to the last word before one that is to be checked or punctuation."""
+    protected = F.col("flag") < 0
+    ends = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: (k > F.col("j")) & ((F.get("flags", k) > 0) | (F.get("punc", k) == 0)))
+    rows = clauses.select(*KEY, "words", "flags", "punc", F.posexplode("words").alias("j", "word")).withColumns({"flag": F.get("flags", F.col("j")), "p": F.get("punc", F.col("j"))})
+    rows = rows.filter(protected & T.is_han(F.col("word")) & ~F.col("p").isin(0, 2)).withColumn("last", F.coalesce(F.array_min(ends) - 1, F.size("words") - 1))
+    return rows.select(*KEY, "j", "word", "last", F.array_join(F.slice("words", F.col("j") + 1, F.col("last") - F.col("j") + 1), "").alias("span"))
+
+
 def _rows(df: DataFrame, det: str, b: Column, e: Column, cand: Column, at: Column, pref: Column, rank: Column, rule: Column | None = None) -> DataFrame:
     return df.select(*KEY, F.lit(det).alias("det"), b.cast("int").alias("b"), e.cast("int").alias("e"), cand.alias("cand"), at.cast("int").alias("at"), pref.cast("int").alias("pref"), rank.cast("int").alias("rank"), (rule if rule is not None else F.lit("")).alias("rule"))
 
@@ -184,8 +194,15 @@ def candidates(clauses: DataFrame, lex: Lexicons, names: DataFrame | None = None
         found = lookup(to_check.filter((F.col("p") == 1) & (F.length("w") > 1)), lex.split.select(F.col("key").alias("_from"), F.col("value").alias("cand"), "rank"), {"w": "_from"})
         parts.append(_rows(found, "split", F.col("j"), F.col("j"), F.translate("cand", "/", " "), F.col("j"), zero, F.col("rank")))
     if names is not None:
-        found = a.select(*KEY, "j", "w").join(names.select("doc_id", F.col("word").alias("w"), F.col("rule").alias("r"), "right"), ["doc_id", "w"]).filter((F.length("w") == F.length("right")) & (F.col("w") != F.col("right")))
-        parts.append(_rows(found, "name", F.col("j"), F.col("j"), F.col("right"), F.col("j"), zero, zero, F.col("r")))
+        person = F.startswith(F.col("rule"), F.lit("7"))
+        wanted = names.filter((F.length("word") == F.length("right")) & (F.col("word") != F.col("right"))).select("doc_id", F.col("word").alias("w"), F.col("rule").alias("r"), "right", person.alias("person"))
+        spans = entity_spans(clauses)
+        # a person is one word; another entity is all protected words from one on, up to a word to be checked or punctuation
+        one = spans.select(*KEY, "j", F.col("j").alias("last"), F.col("word").alias("w")).join(wanted.filter("person"), ["doc_id", "w"])
+        many = spans.join(wanted.filter("person").select("doc_id", F.col("w").alias("word")), ["doc_id", "word"], "left_anti")
+        many = many.select(*KEY, "j", "last", F.col("span").alias("w")).join(wanted.filter("not person"), ["doc_id", "w"])
+        for found in (one, many):
+            parts.append(_rows(found, "name", F.col("j"), F.col("last"), F.col("right"), F.col("j"), zero, zero, F.col("r")))
     if lex.top_words is not None:  # characters that make a listed word with a neighbour are settled before they are tried
         run = a.filter("run and flag > 0 and p > 0")
         for side in ("right", "left"):
@@ -226,9 +243,9 @@ def scored(clauses: DataFrame, cands: DataFrame, ppl: Callable[[Column], Column]
 class Cascade:
     """The candidates of one clause, taken detector by detector."""
 
-    def __init__(self, clause: dict, lex_chars: set[str], lex_words: set[str], sure: set[str], similar: set[tuple[str, str]], readings: dict[str, str]):
-        self.c, self.flags, self.taken = clause, [int(f) for f in clause["flags"]], []
-        self.pass_chars, self.pass_words, self.sure, self.similar, self.readings = lex_chars, lex_words, sure, similar, readings
+    def __init__(self, clause: dict, lex_chars: set[str], lex_words: set[str], sure: set[str], similar: set[tuple[str, str]], tones: dict[str, str]):
+        self.c, self.flags, self.taken, self.asked = clause, [int(f) for f in clause["flags"]], [], False
+        self.pass_chars, self.pass_words, self.sure, self.similar, self.tones = lex_chars, lex_words, sure, similar, tones
         self.by: dict[str, list] = {}
         for x in [] if clause["cands"] is None else clause["cands"]:
             self.by.setdefault(x["det"], []).append(x)
@@ -268,7 +285,8 @@ class Cascade:
         return all(t["type"] in EARLY for t in self.taken)
 
     def escalate(self, suspects: list[dict], kind: int) -> None:
-        """The suspect with the largest decrease is taken if the sentence labeller says that the sentence is wrong."""
+        """The suspect with the largest decrease is taken if the sentence labeller, which is asked now, says that the sentence is wrong."""
+        self.asked = self.asked or bool(suspects)
         if suspects and self.c.get("judged_wrong"):
             self.accept(min(suspects, key=lambda x: x["ratio"]), kind)  # min takes the first of equals
 
@@ -284,7 +302,7 @@ class Cascade:
             for x in xs:
                 wrong, right = self.old(x), x["cand"]
                 differ = [i for i in range(4) if wrong[i] != right[i]]
-                tones = any(self.readings.get(a, a) != self.readings.get(b, b) for a, b in zip(wrong, right, strict=True))
+                tones = any(self.tones.get(a, a) != self.tones.get(b, b) for a, b in zip(wrong, right, strict=True))
                 if len(differ) == 1 or (len(differ) == 2 and not (x["ratio"] > 1 and tones)):
                     self.settle(x)
                     self.take(x, IDIOM, 1 - x["ratio"])
@@ -420,27 +438,34 @@ def first_of_cells(taken: list[dict]) -> list[dict]:
     return [cells[k] for k in sorted(cells)]
 
 
-def resolved(clauses: DataFrame, lex: Lexicons, readings: dict[str, str] | None = None, neural: Callable[[dict], list[dict]] | None = None) -> DataFrame:
-    """clause_errors: KEY, clause_text, wrong, right, type, prob, char_pos (of the fragment), error (null, or why a clause failed).
+def resolved(clauses: DataFrame, lex: Lexicons, neural: Callable[[dict], list[dict]] | None = None) -> DataFrame:
+    """clause_errors: KEY, clause_text, wrong, right, type, prob, char_pos (of the fragment), seq (its order in the clause), asked (a suspect asked for the labeller), error (null, or why a clause failed).
 
-    A clause whose cascade fails has a row with the reason and no errors; the job goes on.
+    A clause whose cascade fails has a row with the reason and no errors; the job goes on. A clause that asks for the labeller
+    and has no errors has a row without a type. Only clauses with candidates go to Python, or titles if there is a neural model.
     """
+    clauses = clauses.filter(F.col("cands").isNotNull() | (F.lit(neural is not None) & (F.col("sno") == 0)))
     types = {f.name: f.dataType.simpleString() for f in clauses.schema}
-    shape = ", ".join(f"{k} {types[k]}" for k in KEY) + ", clause_text string, wrong string, right string, type int, prob double, char_pos int, error string"
-    chars, words, sure, similar, table = lex.pass_chars, lex.pass_words, lex.sure_chars, lex.similar, readings or {}
+    shape = ", ".join(f"{k} {types[k]}" for k in KEY) + ", clause_text string, wrong string, right string, type int, prob double, char_pos int, seq int, asked boolean, error string"
+    chars, words, sure, similar, tones = lex.pass_chars, lex.pass_words, lex.sure_chars, lex.similar, lex.tones
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for c in b.to_dict("records"):
                 key, text = {k: c[k] for k in KEY}, "".join(c["words"])
+                none = {**key, "clause_text": text, "wrong": None, "right": None, "type": None, "prob": None, "char_pos": None, "seq": None, "asked": False, "error": None}
                 try:
-                    for t in Cascade(c, chars, words, sure, similar, table).run(neural):
-                        out.append({**key, "clause_text": text, "wrong": "".join(c["words"][t["b"] : t["e"] + 1]), "right": t["right"], "type": t["type"], "prob": t["prob"], "char_pos": int(c["offs"][t["b"]]), "error": None})
+                    cascade = Cascade(c, chars, words, sure, similar, tones)
+                    taken = cascade.run(neural)
+                    for n, t in enumerate(taken):
+                        out.append({**none, "wrong": "".join(c["words"][t["b"] : t["e"] + 1]), "right": t["right"], "type": t["type"], "prob": t["prob"], "char_pos": int(c["offs"][t["b"]]), "seq": n, "asked": cascade.asked})
+                    if cascade.asked and not taken:
+                        out.append({**none, "asked": True})
                 except Exception as e:  # one clause's fault must not end the job
-                    out.append({**key, "clause_text": text, "wrong": None, "right": None, "type": None, "prob": None, "char_pos": None, "error": f"{type(e).__name__}: {e}"[:200]})
-            frame = pd.DataFrame(out, columns=[*KEY, "clause_text", "wrong", "right", "type", "prob", "char_pos", "error"])
-            yield frame.astype({"type": "Int32", "char_pos": "Int32"})
+                    out.append({**none, "error": f"{type(e).__name__}: {e}"[:200]})
+            frame = pd.DataFrame(out, columns=[*KEY, "clause_text", "wrong", "right", "type", "prob", "char_pos", "seq", "asked", "error"])
+            yield frame.astype({"type": "Int32", "char_pos": "Int32", "seq": "Int32"})
 
     return clauses.mapInPandas(run, shape)
 
@@ -449,10 +474,3 @@ def explained(clauses: DataFrame) -> DataFrame:
     """Per clause what a reader needs to follow the cascade: words, flags, perplexity, and five candidates of each detector by ratio, as JSON."""
     top = F.transform(F.array_distinct(F.transform("cands", lambda x: x["det"])), lambda d: F.struct(d.alias("det"), F.slice(F.sort_array(F.transform(F.filter("cands", lambda x: x["det"] == d), lambda x: F.struct(x["ratio"].alias("ratio"), x["b"].alias("b"), x["e"].alias("e"), x["cand"].alias("cand")))), 1, 5).alias("best")))
     return clauses.select(*KEY, F.to_json(F.struct(F.array_join("words", " ").alias("words"), "flags", "punc", "raw_ppl", top.alias("candidates"))).alias("explained"))
-
-
-def phonetic_keys(words: DataFrame, word: str = "word") -> DataFrame:
-    """word with a key of its consonants, for confusion sets of Latin words."""
-    return words.withColumn("key", F.lower(F.regexp_replace(word, "(?i)[aeiou]", "")))
-
-

@@ -121,4 +121,4 @@ def pronoun_errors(words: DataFrame, genders: DataFrame) -> DataFrame:
     fired = carried(gender_counts(words, genders)).filter("fires").select("doc_id", "sno", "sentence_gender")
     right = F.when(F.col("sentence_gender") == HE, PRONOUNS[HE]).otherwise(PRONOUNS[SHE])
     rows = words.join(fired, ["doc_id", "sno"]).withColumn("right", right).filter(F.col("word").isin(*PRONOUNS.values()) & (F.col("word") != F.col("right")))
-    return rows.select("doc_id", "sno", F.col("char_off").alias("char_pos"), F.col("sentence").alias("clause"), F.col("word").alias("wrong"), "right", F.lit(23).alias("type"), F.lit(1.0).alias("prob"), F.col("sentence").alias("sentence"), F.when(F.col("para") <= 1, 2).otherwise(1).alias("term_imp"), F.lit(0).alias("recall"))
+    return rows.select("doc_id", "sno", F.col("char_off").alias("char_pos"), F.col("sentence").alias("clause"), F.col("word").alias("wrong"), "right", F.lit(23).alias("type"), F.lit(1.0).alias("prob"), F.col("sentence").alias("sentence"), F.when(F.col("para") <= 1, 2).otherwise(1).alias("term_imp"), F.lit(0).alias("recall"), (F.col("char_off") - 1_000_000).alias("seq"))

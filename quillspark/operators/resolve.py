@@ -21,7 +21,7 @@ IMPORTANT = (7, 9, 0, 17, 10, 57)
 SWAPS = ("的", "得", "地")
 MANY_DETAILS = 3
 TITLE_SCORE, BODY_SCORE, VERDICT_SCORE = 3, 1, 3
-ERROR = ("doc_id", "sno", "char_pos", "clause", "wrong", "right", "type", "prob", "sentence", "term_imp", "recall")
+ERROR = ("doc_id", "sno", "char_pos", "clause", "wrong", "right", "type", "prob", "sentence", "term_imp", "recall", "seq")
 
 
 def threshold_table(spark, precise: dict = PRECISE, delay: dict = DELAY) -> DataFrame:
@@ -37,15 +37,15 @@ def importance(kind: Column, wrong: Column, right: Column, para: Column, same_re
 
 
 def characters(errors: DataFrame) -> DataFrame:
-    """One row per differing character of clause errors (doc_id, sno, clause, wrong, right, char_pos, type, prob, term_imp, sentence, repeats).
+    """One row per differing character of clause errors (doc_id, sno, clause, wrong, right, char_pos, type, prob, term_imp, sentence, repeats, seq).
 
-    repeats: how often the document names the wrong entity; twice or more makes it a recall error. Fixed collocations don't
+    seq is the order in which a sentence's errors were found; that of characters follows it. repeats: how often the document names the wrong entity; twice or more makes it a recall error. Fixed collocations don't
     report 的 and 地.
     """
     pairs = F.arrays_zip(F.split("wrong", "").alias("w"), F.split("right", "").alias("r"))
     rows = errors.select("*", F.posexplode(pairs).alias("_i", "_p")).withColumns({"_w": F.col("_p.w"), "_r": F.col("_p.r")}).filter("_w <> _r and not (type = 10 and _w in ('的', '地'))")
     recall = F.when(F.col("type").isin(7, 57, 9) & (F.coalesce("repeats", F.lit(0)) >= 2), 1).otherwise(0)
-    return rows.select("doc_id", "sno", (F.col("char_pos") + F.col("_i")).alias("char_pos"), "clause", F.col("_w").alias("wrong"), F.col("_r").alias("right"), "type", "prob", "sentence", "term_imp", recall.alias("recall"))
+    return rows.select("doc_id", "sno", (F.col("char_pos") + F.col("_i")).alias("char_pos"), "clause", F.col("_w").alias("wrong"), F.col("_r").alias("right"), "type", "prob", "sentence", "term_imp", recall.alias("recall"), (F.col("seq") * 100 + F.col("_i")).alias("seq"))
 
 
 def kept_anyway(kind: Column, prob: Column, wrong: Column, right: Column, sno: Column) -> Column:
@@ -55,7 +55,7 @@ def kept_anyway(kind: Column, prob: Column, wrong: Column, right: Column, sno: C
 
 
 def to_label(sentences: DataFrame, errors: DataFrame, judged: DataFrame) -> DataFrame:
-    """Sentences that the labeller is still to read: titles, and without errors the first two of the body, unless it was asked before."""
+    """Sentences that the labeller is still to read: titles, and without errors the first two of the body, unless it was asked before. Documents with the id '0' have none."""
     e, j = errors.select("doc_id", "sno").distinct().withColumn("_e", F.lit(True)), judged.select("doc_id", "sno").distinct()
     out = sentences.filter((F.col("sno") < 3) & (F.col("doc_id") != "0")).join(e, ["doc_id", "sno"], "left").filter((F.col("sno") == 0) | F.col("_e").isNull()).drop("_e")
     return out.join(j, ["doc_id", "sno"], "left_anti")
@@ -64,7 +64,7 @@ def to_label(sentences: DataFrame, errors: DataFrame, judged: DataFrame) -> Data
 def with_labels(errors: DataFrame, labels: DataFrame, pass_chars: list[str] = (), pass_words: list[str] = ()) -> DataFrame:
     """Errors of sentences after the labeller's say.
 
-    errors: ERROR columns, one row a character. labels: doc_id, sno, char_pos, char, word, prob, protected, sentence, clause,
+    errors: ERROR columns, one row a character; of a place's errors the first found counts. labels: doc_id, sno, char_pos, char, word, prob, protected, sentence, clause,
     correction: its hits in sentences that it finds wrong. Of such sentences stay the errors that are kept anyway and the hits
     that are not protected, not exempt, Han, and not of a character kept already: with the error found at that place, or as
     type 20 with the correction. If nothing is left the first error stays. Other sentences keep their errors.
@@ -79,14 +79,15 @@ def with_labels(errors: DataFrame, labels: DataFrame, pass_chars: list[str] = ()
     word = F.col("word").isin(*pass_words) if pass_words else F.lit(False)
     hits = labels.filter(~F.col("protected") & T.is_han(F.col("char")) & ~passed & ~word & ~((F.length("word") > 1) & F.regexp("word", F.lit("[哥姐氏妃]$|^小"))))
     hits = hits.join(kept.select(*at, F.col("wrong").alias("char")).distinct(), [*at, "char"], "left_anti")
-    first = first_by(judged, [*at, "char_pos"], ["type"]).select(*ERROR)
+    first = first_by(judged, [*at, "char_pos"], ["seq"]).select(*ERROR)
     there = hits.select(*at, "char_pos", "char").join(first, [*at, "char_pos"])
     confirmed = there.filter("char = wrong").select(*ERROR)
     fresh = hits.join(first.select(*at, "char_pos"), [*at, "char_pos"], "left_anti")
-    fresh = fresh.select("doc_id", "sno", "char_pos", F.coalesce("clause", "sentence").alias("clause"), F.col("char").alias("wrong"), F.coalesce("correction", F.lit("X")).alias("right"), F.lit(20).alias("type"), "prob", "sentence", F.lit(1).alias("term_imp"), F.lit(1).alias("recall"))
+    imp = F.col("term_imp") if "term_imp" in labels.columns else F.lit(2)  # 'X' has no reading, and what sounds otherwise matters
+    fresh = fresh.select("doc_id", "sno", "char_pos", F.coalesce("clause", "sentence").alias("clause"), F.col("char").alias("wrong"), F.coalesce("correction", F.lit("X")).alias("right"), F.lit(20).alias("type"), "prob", "sentence", imp.alias("term_imp"), F.lit(1).alias("recall"), (F.col("char_pos") + 1_000_000).alias("seq"))
     after = kept.select(*ERROR).unionByName(confirmed).unionByName(fresh)
     empty = judged.join(after.select(*at).distinct(), at, "left_anti")
-    rescued = first_by(empty, at, ["char_pos", "type"]).select(*ERROR)
+    rescued = first_by(empty, at, ["seq"]).select(*ERROR)
     return calm.unionByName(after).unionByName(rescued)
 
 

@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows up to which a lexicon is handed to every executor; beyond that, joins with it shuffle.
-BROADCAST_ROWS = 2_000_000
+#: Rows, and bytes as rows, up to which a lexicon is handed to every executor; beyond either, joins with it shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 128 << 20
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -102,9 +102,22 @@ def prefix_keys(words: DataFrame, word: str = "word") -> DataFrame:
     return words.select(F.explode(keys).alias("key"), F.col(word).alias("word")).distinct()
 
 
-def small(lexicon: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """lexicon with a broadcast hint if it has at most `rows` rows, as it is otherwise."""
-    return F.broadcast(lexicon) if lexicon.limit(rows + 1).count() <= rows else lexicon
+#: Of lexicons whose size was checked, whether they are small: by their plans, so that one is counted once however often it is looked up.
+_CHECKED: dict[int, bool] = {}
+
+
+def small(lexicon: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """lexicon with a broadcast hint if it has at most `rows` rows and `size` bytes of text, as it is otherwise."""
+    key = hash((lexicon.semanticHash(), rows, size))
+    if key not in _CHECKED:
+        if len(_CHECKED) > 1000:
+            _CHECKED.clear()
+        width = F.lit(0).cast("bigint")
+        for f in lexicon.schema:
+            width = width + (F.coalesce(F.octet_length(F.col(f.name)), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(16))
+        got = lexicon.limit(rows + 1).select(width.alias("w")).agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
+        _CHECKED[key] = got["n"] <= rows and (got["w"] or 0) <= size
+    return F.broadcast(lexicon) if _CHECKED[key] else lexicon
 
 
 def as_map(lexicon: DataFrame, key: str, value: str, rows: int = BROADCAST_ROWS) -> dict:
@@ -113,3 +126,21 @@ def as_map(lexicon: DataFrame, key: str, value: str, rows: int = BROADCAST_ROWS)
     if len(got) > rows:
         raise ValueError(f"more than {rows} rows")
     return {r[0]: r[1] for r in got}
+
+
+def many_key_values(src: DataFrame, separator: str, within: str) -> DataFrame:
+    """key, value, rank: every member of a line's first field, parted by `within`, with the values of its second field. The last line of a key counts."""
+    f = _fields(src, separator).select("n", F.explode(F.split(F.col("f")[0], re.escape(within), -1)).alias("key"), F.split(F.col("f")[1], re.escape(within), -1).alias("values"))
+    last = f.groupBy(F.trim("key").alias("key")).agg(F.max_by("values", "n").alias("values")).filter("key <> ''")
+    return last.select("key", F.posexplode("values").alias("rank", "value")).select("key", F.trim("value").alias("value"), "rank").filter("value <> ''")
+
+
+def settings(src: DataFrame) -> DataFrame:
+    """section, name, value of an ini file: of repeated names of a section the last counts. Lines before the first section belong to ''."""
+    text = F.trim("line")
+    marked = src.withColumn("head", F.when(F.startswith(text, F.lit("[")) & F.endswith(text, F.lit("]")), F.substring(text, F.lit(2), F.length(text) - 2)))
+    # an ini file is a few lines: one ordered pass
+    held = marked.withColumn("section", F.coalesce(F.last("head", ignorenulls=True).over(Window.orderBy("n")), F.lit("")))
+    pair = held.filter(F.col("head").isNull() & ~F.regexp(text, F.lit("^[#;]")) & F.contains("line", F.lit("=")))
+    pair = pair.select("section", F.trim(F.substring_index("line", "=", 1)).alias("name"), F.trim(F.expr("substring(line, instr(line, '=') + 1)")).alias("value"), "n")
+    return pair.groupBy("section", "name").agg(F.max_by("value", "n").alias("value"))

@@ -80,8 +80,8 @@ def cand(det, b, text, ratio, e=None, at=None, rank=0, pref=0, rule=""):
     return {"det": det, "b": b, "e": b if e is None else e, "cand": text, "at": b if at is None else at, "rank": rank, "pref": pref, "rule": rule, "ratio": ratio}
 
 
-def run(c, chars=(), words=(), sure=(), similar=(), readings=None, neural=None):
-    got = detect.Cascade(c, set(chars), set(words), set(sure), set(similar), readings or {}).run(neural)
+def run(c, chars=(), words=(), sure=(), similar=(), tones=None, neural=None):
+    got = detect.Cascade(c, set(chars), set(words), set(sure), set(similar), tones or {}).run(neural)
     return [(t["b"], t["e"], t["right"], t["type"], round(t["prob"], 3)) for t in got]
 
 
@@ -117,7 +117,7 @@ def test_idioms_fixed_pairs_names_and_splits():
     words = ["甲", "乙丙", "丁", "戊", "己庚"]
     assert run(clause(words=words, cands=[cand("idiom", 0, "甲乙丙X", 3.0, e=2)])) == [(0, 2, "甲乙丙X", 0, -2.0)]
     two = [cand("idiom", 0, "甲乙YX", 1.5, e=2)]
-    assert run(clause(words=words, cands=two), readings={"丙": "a", "Y": "a", "丁": "c", "X": "c"}) == [(0, 2, "甲乙YX", 0, -0.5)] and run(clause(words=words, cands=two)) == []
+    assert run(clause(words=words, cands=two), tones={"丙": "a", "Y": "a", "丁": "c", "X": "c"}) == [(0, 2, "甲乙YX", 0, -0.5)] and run(clause(words=words, cands=two)) == []
     pair = [cand("fixed", 3, "A", 0.8, at=2), cand("fixed", 1, "BB", 0.5, at=2, pref=1)]
     assert run(clause(words=words, cands=pair)) == [(1, 1, "BB", 10, 0.5)]
     name = [cand("name", 1, "AB", None, rule="7_baidu"), cand("char", 3, "y", 0.01)]
@@ -140,6 +140,35 @@ def test_a_failing_clause_does_not_end_the_job(spark):
     assert got == [] or got[0]["error"]
 
 
+def test_entities_of_several_words(spark):
+    """The run of protected words from one on is an entity; persons are single words; words to be checked are none."""
+    c = spark.createDataFrame([("d", 0, 0, ["去", "北", "京路", "了", "王君", "，"], [1, -1, -1, 1, -2, -2], [1, 1, 1, 1, 1, 0])], "doc_id string, sno int, clause int, words array<string>, flags array<int>, punc array<int>")
+    assert [(r.word, r.last, r.span) for r in detect.entity_spans(c).orderBy("j").collect()] == [("北", 2, "北京路"), ("京路", 2, "京路"), ("王君", 4, "王君")]
+    names = spark.createDataFrame([("d", "北京路", "9_vdo", "北京鹿"), ("d", "王君", "7_freq", "王军"), ("d", "了", "9_vdo", "啦"), ("d", "京路", "7_freq", "京"), ("x", "北", "9_vdo", "背")], "doc_id string, word string, rule string, right string")
+    got = detect.candidates(c, detect.Lexicons(), names).collect()
+    assert sorted((r.b, r.e, r.cand, r.rule) for r in got) == [(1, 2, "北京鹿", "9_vdo"), (4, 4, "王军", "7_freq")]
+
+
+def test_the_labeller_is_heard_where_it_is_asked(spark):
+    """A verdict on a body sentence counts if a suspect asked for it, or if it is an early sentence without errors."""
+    models = queries.fixture_models(spark)
+    hit = lambda sents: sents.select("doc_id", "sno", F.lit(0).alias("char_pos"), F.substring("sentence", 1, 1).alias("char"), F.substring("sentence", 1, 1).alias("word"), F.lit(0.9).alias("prob"), F.lit(False).alias("protected"), "sentence", F.lit(None).cast("string").alias("clause"), F.lit(None).cast("string").alias("correction"))
+    models.label = hit
+    docs = shaped(spark.createDataFrame([("d1", "", "北京很大。中国很大。首都很大。北京很大。" , 0)], "doc_id string, title string, body string, data_type int"))
+    got = plan.check(docs, models)[0].collect()
+    assert sorted((r.sno, r.typo, r.correct) for r in got) == [(1, 20, "X"), (2, 20, "X")]
+
+
+def test_failed_sentences_leave_a_mark(spark):
+    models = queries.fixture_models(spark)
+    models.neural = lambda c: 1 / 0
+    docs = shaped(spark.createDataFrame([("d1", "北京很大", "")], "doc_id string, title string, body string"))
+    details, summary = plan.check(docs, models)
+    assert details.count() == 0 and summary.first()["ret_code"] == -1
+    models.mask_errors = True
+    assert plan.check(docs, models)[1].first()["ret_code"] == 0
+
+
 def test_protected_words_and_passed_windows(spark):
     s = spark.createDataFrame([("d", 0, 0, 0, ["他", "说", "“", "你", "好", "”", "了"], [1, 1, -2, 1, 1, -2, 1])], "doc_id string, sno int, para int, data_type int, words array<string>, flags array<int>")
     c = detect.clause_rows(s)
@@ -202,21 +231,23 @@ def test_pronoun_errors(spark):
     assert [(x.wrong, x.right, x.type, x.term_imp) for x in got] == [("她", "他", 23, 2)]
 
 
-ERR = "doc_id string, sno int, char_pos int, clause string, wrong string, right string, type int, prob double, sentence string, term_imp int, recall int"
+ERR = "doc_id string, sno int, char_pos int, clause string, wrong string, right string, type int, prob double, sentence string, term_imp int, recall int, seq int"
 
 
 def test_merge_with_the_labeller(spark):
-    rows = [("d", 1, 0, "c", "a", "b", 1, 0.4, "s", 1, 0), ("d", 1, 3, "c", "甲", "乙", 2, 0.6, "s", 1, 0), ("d", 1, 5, "c", "i", "j", 0, 0.1, "s", 1, 0), ("d", 2, 0, "c", "x", "y", 2, 0.5, "s", 1, 0), ("d", 3, 1, "c", "p", "q", 2, 0.5, "s", 1, 0)]
+    rows = [("d", 1, 0, "c", "a", "b", 1, 0.4, "s", 1, 0), ("d", 1, 3, "c", "甲", "乙", 2, 0.6, "s", 1, 0), ("d", 1, 5, "c", "i", "j", 0, 0.1, "s", 1, 0), ("d", 2, 0, "c", "x", "y", 2, 0.5, "s", 1, 0), ("d", 3, 1, "c", "p", "q", 2, 0.5, "s", 1, 0), ("d", 3, 0, "c", "later", "q", 2, 0.5, "s", 1, 0)]
+    rows = [(*r, n) for n, r in enumerate(rows)]  # the first error found stays where none would, not the first in place
     hits = [("d", 1, 3, "甲", "甲", 0.9, False, "s", "c", "乙"), ("d", 1, 7, "丙", "丙", 0.8, False, "s", "c", None), ("d", 1, 8, "丁", "丁", 0.8, True, "s", "c", "z"), ("d", 1, 9, "王", "王哥", 0.8, False, "s", "c", "z"), ("d", 3, 4, "呢", "呢", 0.8, False, "s", "c", "z")]
     labels = spark.createDataFrame(hits, "doc_id string, sno int, char_pos int, char string, word string, prob double, protected boolean, sentence string, clause string, correction string")
     got = resolve.with_labels(spark.createDataFrame(rows, ERR), labels, ["呢"]).collect()
+    assert {r.wrong: r.term_imp for r in got}["丙"] == 2
     assert sorted((r.sno, r.char_pos, r.wrong, r.right, r.type) for r in got) == [(1, 3, "甲", "乙", 2), (1, 5, "i", "j", 0), (1, 7, "丙", "X", 20), (2, 0, "x", "y", 2), (3, 1, "p", "q", 2)]
     ask = resolve.to_label(spark.createDataFrame([("d", 0), ("d", 1), ("d", 2), ("d", 9), ("0", 0)], "doc_id string, sno int"), spark.createDataFrame(rows, ERR).filter("sno = 1"), labels.filter("sno = 99"))
     assert sorted((r.doc_id, r.sno) for r in ask.collect()) == [("d", 0), ("d", 2)]
 
 
 def test_characters_levels_and_video(spark):
-    e = spark.createDataFrame([("d", 1, "c", "手都", "首都", 4, 1, 0.9, "s", 1, 0), ("d", 1, "c", "的人", "地仁", 9, 10, 0.9, "s", 1, 0), ("d", 1, "c", "王君", "王军", 20, 7, 1.0, "s", 1, 3)], "doc_id string, sno int, clause string, wrong string, right string, char_pos int, type int, prob double, sentence string, term_imp int, repeats int")
+    e = spark.createDataFrame([("d", 1, "c", "手都", "首都", 4, 1, 0.9, "s", 1, 0, 0), ("d", 1, "c", "的人", "地仁", 9, 10, 0.9, "s", 1, 0, 1), ("d", 1, "c", "王君", "王军", 20, 7, 1.0, "s", 1, 3, 2)], "doc_id string, sno int, clause string, wrong string, right string, char_pos int, type int, prob double, sentence string, term_imp int, repeats int, seq int")
     assert sorted((r.char_pos, r.wrong, r.right, r.recall) for r in resolve.characters(e).collect()) == [(4, "手", "首", 0), (10, "人", "仁", 0), (21, "君", "军", 1)]
     v = spark.createDataFrame([(0, 0.5, 2), (1, 0.72, 3), (1, 0.8, 2), (2, 0.7, 3), (3, 0.6, 0), (51, 0.1, 3), (10, 0.6, 2)], "type int, prob double, want int")
     assert all(r.got == r.want for r in v.withColumn("got", resolve.video_recall(F.col("type"), F.col("prob"), F.lit(0))).collect())
