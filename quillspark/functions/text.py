@@ -86,15 +86,15 @@ def is_punctuation(word: Column) -> Column:
 
 def is_han(text: Column) -> Column:
     """Only Han characters; true for the empty text."""
-    return F.regexp(text, F.lit(f"^[{HAN}]*$"))
+    return F.regexp(text, F.lit(rf"^[{HAN}]*\z"))
 
 
 def is_number(text: Column) -> Column:
-    return F.regexp(text, F.lit("^[0-9]+$"))
+    return F.regexp(text, F.lit(r"^[0-9]+\z"))
 
 
 def is_alphabet(text: Column) -> Column:
-    return F.regexp(text, F.lit("^[A-Za-z]+$"))
+    return F.regexp(text, F.lit(r"^[A-Za-z]+\z"))
 
 
 def is_other(text: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import phonetic
 from quillspark.functions import text as T
 from quillspark.operators import detect, entities, lm, lookups, resolve, split
+from quillspark.plans.stages import shared_dir
 from quillspark.sources import lexicons
 from quillspark.streaming import metrics
 
@@ -64,16 +65,6 @@ def text_normalise(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.uniform(t).cast("binary")).alias("uniform_md5"), F.md5(T.clean(t).cast("binary")).alias("clean_md5"), F.length(F.regexp_replace(t, "[.?!:,;]+$", "")).cast("bigint").alias("stripped_chars"))
 
 
-@query("width_and_punctuation", """
-select * from (values (1, 'ABC 你好，世界！！', 'abc 你好,世界!!', '你好,世界,'), (2, '(x)=;y', '(x)=;y', ','), (3, '北京　大学。。', '北京 大学。。', '北京大学,')) as t(id, half, half_lower, stops)
-""".replace("'ABC 你好，世界！！', 'abc", "'ABC 你好,世界!!', 'abc"))
-def width_and_punctuation(spark, sf_dir):
-    rows = spark.createDataFrame([(1, "ＡＢＣ　你好，世界！！"), (2, "（ｘ）＝；ｙ"), (3, "北京　　大学。。")], "id int, raw string")
-    raw = F.when(F.col("id") == 3, F.regexp_replace("raw", "　　", "　")).otherwise(F.col("raw"))
-    half = F.when(F.col("id") == 3, raw).otherwise(T.half_width(raw))
-    return rows.select("id", half.alias("half"), T.uniform(raw).alias("half_lower"), T.uniform_stops(raw).alias("stops"))
-
-
 @query("char_class_filter", f"""
 select doc_id, length(text) as chars, length(regexp_replace(text, '[^0-9]', '', 'g')) as digits, length(regexp_replace(text, '[^{LATIN}]', '', 'g')) as letters,
   length(regexp_replace(text, '[{LATIN}]', '', 'g')) / length(text) as foreign_share
@@ -138,7 +129,7 @@ def delimited_pieces(spark, sf_dir):
     return docs.groupBy("piece").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query("clause_split", """select * from (values (0, 0, '今天|天气', 0), (0, 1, '很|好', 5), (1, 0, 'ab|cd', 0), (2, 0, '去', 0), (2, 1, '不|去', 2)) as t(id, clause, words, off)""")
+@query("clause_split")
 def clause_split(spark, sf_dir):
     rows = spark.createDataFrame([(0, ["今天", "天气", "，", "很", "好", "。"]), (1, ["ＡＢ", "cd", " "]), (2, ["去", ",", "不", "去", "？"])], "id int, w array<string>")
     return rows.select("id", F.posexplode(split.clauses_of(F.col("w"))).alias("clause", "c")).select("id", "clause", F.array_join(F.transform("c", lambda x: x["word"]), "|").alias("words"), F.element_at("c", 1)["off"].alias("off"))
@@ -183,11 +174,9 @@ def lexicon_lookup(spark, sf_dir):
 s as (select doc_id, quality, toxic, 100 * quality as b, 100 * quality + 50 + 100 * toxic as e from labels)
 select w.doc_id, count(*) as tokens, min(off)::bigint as first_off, max(off)::bigint as last_off from w join s on w.doc_id = s.doc_id and off >= b and off < e group by 1""")
 def spans_to_tokens(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", words_of(F.col("text")).alias("words"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("offs"))
-    # only spans up to 250 are asked for, so no more offsets than these are made
-    offs = F.aggregate("words", start, lambda a, w: F.struct((a["at"] + F.length(w)).alias("at"), F.when(a["at"] < 250, F.concat(a["offs"], F.array(a["at"]))).otherwise(a["offs"]).alias("offs")), lambda a: a["offs"])
-    points = words.select("doc_id", F.explode(offs).alias("pos"))
+    words = document_words(spark, sf_dir)
+    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    points = words.select("doc_id", F.coalesce(F.sum(F.length("word")).over(w), F.lit(0)).alias("pos"))
     spans = table(spark, sf_dir, "labels").select("doc_id", (100 * F.col("quality")).cast("bigint").alias("begin"), (100 * F.col("quality") + 50 + 100 * F.col("toxic")).cast("bigint").alias("end"))
     return lookups.within_spans(points, spans, ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("tokens"), F.min("pos").alias("first_off"), F.max("pos").alias("last_off"))
 
@@ -236,12 +225,12 @@ def word_bigrams(spark, sf_dir):
     return lm.grams(table(spark, sf_dir, "documents").select(words_of(F.col("text")).alias("words")))
 
 
-@query("bigram_perplexity", f"""with d as (select item_id, {WORDS_SQL} as words from benchmark), w as (select item_id, unnest(list_concat(['<s>'], words)) as prev, unnest(list_concat(words, ['</s>'])) as word from d),
+@query("bigram_perplexity", f"""with d as (select doc_id as item_id, {WORDS_SQL} as words from documents), w as (select item_id, unnest(list_concat(['<s>'], words)) as prev, unnest(list_concat(words, ['</s>'])) as word from d),
 g as (select prev, word, count(*) as c from w group by 1, 2), p as (select prev, sum(c) as total from g group by 1), v as (select count(distinct word) as n from g)
-select w.item_id, count(*) - 1 as n, round(pow(10, -sum(log10((g.c + 0.1) / (p.total + 0.1 * v.n))) / count(*)), 6) as ppl from w join g using (prev, word) join p using (prev), v group by 1""")
+select w.item_id as doc_id, count(*) - 1 as n, round(pow(10, -sum(log10((g.c + 0.1) / (p.total + 0.1 * v.n))) / count(*)), 6) as ppl from w join g using (prev, word) join p using (prev), v group by 1""")
 def bigram_perplexity(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", words_of(F.col("text")).alias("words"))
-    return lm.corpus_perplexity(items, lm.grams(items), ["item_id"]).select("item_id", F.col("n"), F.round("ppl", 6).alias("ppl"))
+    items = table(spark, sf_dir, "documents").select("doc_id", words_of(F.col("text")).alias("words"))
+    return lm.corpus_perplexity(items, lm.grams(items), ["doc_id"]).select("doc_id", F.col("n"), F.round("ppl", 6).alias("ppl"))
 
 
 @query("single_letter_runs", f"""with w as (select doc_id, unnest({WORDS_SQL}) as word, generate_subscripts({WORDS_SQL}, 1) - 1 as idx from documents), b as (select *, sum(case when length(word) = 1 then 0 else 1 end) over (partition by doc_id order by idx) as grp from w), r as (select doc_id, grp, min(idx) as run, count(*) as n from b where length(word) = 1 group by 1, 2 having count(*) >= 2)
@@ -395,12 +384,7 @@ def typo_check(spark, sf_dir):
     return check(docs, fixture_models(spark))[0].select("doc_id", "sno", "idx", "wrong", "correct", "typo")
 
 
-@query("confusable_readings", """select * from (values ('shan', 'nan'), ('shan', 'shang'), ('x', 'y')) as t(py, other) where py = 'shan' and other = 'shang' union all select 'shan', 'san' union all select 'xu', 'xi' union all select 'yong', 'yon' union all select 'yong', 'you'""")
-def confusable_readings(spark, sf_dir):
-    return spark.createDataFrame([("shan",), ("xu",), ("yong",)], "py string").select("py", F.explode(phonetic.confusable(F.col("py"))).alias("other"))
-
-
-@query("script_conversion", """select * from (values (1, '发展中国家'), (2, '头发'), (3, '皇后')) as t(id, simple)""")
+@query("script_conversion")
 def script_conversion(spark, sf_dir):
     from quillspark.functions.variants import converter
 
@@ -420,11 +404,9 @@ def word_pieces(spark, sf_dir):
 @query("metric_stream", """select date_trunc('hour', ts) as window_start, event_type as metric, round(sum(value), 6) as value from events where value is not null and date_trunc('hour', ts) + interval '1 hour' <= (select max(ts) from events) group by 1, 2""")
 def metric_stream(spark, sf_dir):
     """The hourly roll-up by a stream that reads the same table: all windows that the watermark has passed."""
-    import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-")
-    at = f"{base}/metric-stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/metric-stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     e = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
     points = e.select(F.col("ts").cast("timestamp").alias("ts"), F.lit("app").alias("app_mark"), F.lit("i").alias("instance_mark"), F.create_map().cast("map<string,string>").alias("tags"), F.col("event_type").alias("metric"), F.lit("ADD").alias("method"), F.col("value").cast("string").alias("value"))
