@@ -1,6 +1,7 @@
 """Searches over vectors and codes, and the pipeline."""
 
 import math
+from collections import Counter
 
 import numpy as np
 
@@ -60,6 +61,34 @@ def test_hamming_is_exact(spark):
     assert got == sorted(want)
 
 
+def rows_made(spark, run):
+    """What run() made in all, by node of its plans that is an exchange to the driver or makes rows."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {e.executionId() for e in iterated(store.executionsList())}
+    run()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    made = Counter()
+    for e in iterated(store.executionsList()):
+        if e.executionId() not in before:
+            values = store.executionMetrics(e.executionId())
+            for node in iterated(store.planGraph(e.executionId()).allNodes()):
+                for m in iterated(node.metrics()):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made[node.name()] += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return made
+
+
+def iterated(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def test_hamming_broadcasts_no_values_to_look_up(spark):
+    df, _ = table(spark, 5, 3000)
+    assert rows_made(spark, lambda: hamming_topk.search(df).collect())["BroadcastExchange"] <= 3000
+
+
 def test_segments_cover_the_code():
     for n in (1, 2, 300, 10_000, 10**9, 10**14):
         cut = hamming_topk.segments(n)
