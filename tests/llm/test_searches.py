@@ -89,6 +89,55 @@ def test_hamming_broadcasts_no_values_to_look_up(spark):
     assert rows_made(spark, lambda: hamming_topk.search(df).collect())["BroadcastExchange"] <= 3000
 
 
+def test_hamming_makes_no_row_of_a_value_to_look_up(spark):
+    df, _ = table(spark, 6, 3000)
+    made = rows_made(spark, lambda: hamming_topk.search(df).collect())
+    assert 0 < made["Generate"] <= 3000
+
+
+def nearest_codes(rows, k=10):
+    """By brute force, of (id, code) pairs without repeats."""
+    out = []
+    for q, c in rows:
+        if q % 100 == 0:
+            out += [(q, d, i) for i, x in rows if i != q for d in [(x ^ c).bit_count()]]
+    best = {}
+    for q, d, i in sorted(out):
+        best.setdefault(q, []).append((d, i))
+    return [(q, n, i, d) for q in sorted(best) for n, (d, i) in enumerate(best[q][:k], 1)]
+
+
+def test_hamming_in_many_blocks_is_exact(spark):
+    df, v = table(spark, 7, 1500)
+    want = nearest_codes([(i, sum(1 << b for b in range(64) if x[b] > 0)) for i, x in v.items()])
+    for block in (100, 700):
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.distance) for r in hamming_topk.search(df, block=block).collect()) == want
+
+
+def test_hamming_of_an_id_with_many_codes(spark):
+    near = [(0, [1.0] * 64)] + [(0, [1.0] * n + [-1.0] + [1.0] * (63 - n)) for n in range(20)]
+    far = [(i, [-1.0] * (5 + i) + [1.0] * (59 - i)) for i in range(1, 30)]
+    got = hamming_topk.search(spark.createDataFrame(near + far, "vec_id long, embedding array<float>"))
+    assert {r.vec_id for r in got.collect()} <= set(range(1, 30)) and got.filter("rank = 1").count() == 1 and got.count() == 10
+
+
+def test_index_agrees_with_comparing_all():
+    r = np.random.default_rng(8)
+    for n, bits in ((1, 2**64 - 1), (40, 2**64 - 1), (3000, 2**64 - 1), (3000, 0xFF0000000003F), (20000, 0xFFFFFFFFFF)):
+        codes = np.unique(r.integers(0, 2**64, n, dtype=np.uint64) & np.uint64(bits))
+        ids, copies = r.permutation(len(codes)), r.integers(1, 4, len(codes))
+        asked = np.concatenate([codes[:20], r.integers(0, 2**64, 20, dtype=np.uint64)])
+        index = hamming_topk.Index(codes.view(np.int64), ids, copies)
+        for worst in (64, 9):
+            q, e, d = index.search(asked.view(np.int64), np.full(len(asked), worst), 10)
+            for i, c in enumerate(asked):
+                x = np.bitwise_count(codes ^ c).astype(np.int64)
+                by = np.lexsort((ids, x))
+                enough = x[by][np.searchsorted(np.cumsum(copies[by]), 11)] if copies.sum() > 10 else 64
+                by = by[:11][x[by[:11]] <= min(worst, enough)]
+                assert e[q == i].tolist() == by.tolist() and d[q == i].tolist() == x[by].tolist()
+
+
 def test_segments_cover_the_code():
     for n in (1, 2, 300, 10_000, 10**9, 10**14):
         cut = hamming_topk.segments(n)
